@@ -32,7 +32,9 @@ SELECT
     || CASE l_suppkey % 4 WHEN 0 THEN 'python API engineer' WHEN 1 THEN 'Data Engineer' WHEN 2 THEN 'Yazılım Geliştirici' ELSE 'QA of Java systems' END
     || CASE l_linenumber % 3 WHEN 0 THEN ' (Remote, Full-time)' WHEN 1 THEN ' | Contract' ELSE '' END AS title,
   s_name AS company,
-  CASE WHEN l_partkey % 5 = 0 THEN 'Remote' WHEN l_partkey % 5 = 1 THEN n_name ELSE n_name || ', ' || r_name END AS location_raw,
+  CASE WHEN l_partkey % 5 = 0 THEN 'Remote' WHEN l_partkey % 5 = 1 THEN n_name
+       WHEN l_suppkey % 9 = 0 THEN 'Istanbul, Turkey' WHEN l_suppkey % 9 = 1 THEN 'Izmir, Türkiye'
+       WHEN l_suppkey % 9 = 2 THEN 'Ankara, TR' ELSE n_name || ', ' || r_name END AS location_raw,
   CASE WHEN l_orderkey % 11 = 0 THEN 'not-a-date' WHEN l_orderkey % 11 = 1 THEN '1774000000'
        ELSE CAST(CAST(l_shipdate AS DATE) AS STRING) || 'T08:00:00+02:00' END AS posted_at_raw,
   'Work with ' || p_name || ', ' || CASE l_orderkey % 5 WHEN 0 THEN 'K8s and Postgres' WHEN 1 THEN 'Node.js and TS'
@@ -101,3 +103,92 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view as normalized job records."""
     return normalize_listings(raw_listings(spark, sf_dir), AS_OF)
+
+
+def _documents(rows: DataFrame, element: Column) -> DataFrame:
+    """(payload_id, source, elements): the listings of eight neighbouring orders per source, in order.
+
+    An order has a handful of lines, so a document stays small however large the tables are.
+    """
+    placed = F.struct(F.col("seq"), element.alias("element"))
+    return rows.groupBy(F.floor(F.col("order_key") / 8).alias("payload_id"), "source").agg(
+        F.transform(F.array_sort(F.collect_list(placed)), lambda x: x.element).alias("elements")
+    )
+
+
+def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view as JSON payloads in the layouts of the three feeds; the last source uses the generic one."""
+    col = F.col
+    rows = listing_rows(spark, sf_dir).withColumn("tags", csv_tags(col("tags_csv")))
+    html = F.concat(F.lit("<div><p>"), col("description_text"), F.lit("</p><script>x</script></div>"))
+    element = (
+        F.when(col("source") == "arbeitnow", F.to_json(F.struct(
+            col("source_job_id").alias("slug"), "title", col("company").alias("company_name"),
+            col("location_raw").alias("location"), (col("location_raw") == "Remote").alias("remote"),
+            col("employment_type_raw").alias("job_type"), "tags", col("source_job_url").alias("url"),
+            col("posted_at_raw").alias("created_at"), html.alias("description"),
+        )))
+        .when(col("source") == "remotive", F.to_json(F.struct(
+            col("source_job_id").alias("id"), "title", col("company").alias("company_name"),
+            col("location_raw").alias("candidate_required_location"), col("employment_type_raw").alias("job_type"),
+            col("tags_csv").alias("tags"), col("source_job_url").alias("url"),
+            col("posted_at_raw").alias("publication_date"), col("description_text").alias("description"),
+        )))
+        .when(col("source") == "themuse", F.to_json(F.struct(
+            col("source_job_id").alias("id"), col("title").alias("name"),
+            F.struct(col("company").alias("name")).alias("company"),
+            F.array(F.struct(col("location_raw").alias("name"))).alias("locations"),
+            F.struct(col("source_job_url").alias("landing_page")).alias("refs"),
+            col("posted_at_raw").alias("publication_date"), col("description_text").alias("contents"),
+            col("employment_type_raw").alias("type"),
+        )))
+        .otherwise(F.to_json(F.struct(
+            col("source_job_id").alias("id"), col("title").alias("position"), "company",
+            col("location_raw").alias("location"), col("source_job_url").alias("apply_url"), "tags",
+            col("posted_at_raw").alias("date"), col("description_text").alias("description"),
+            (col("order_key") % 5 * 10000).alias("salary_min"),
+            (col("order_key") % 3 * 25000).cast("string").alias("salary_max"),
+        )))
+    )
+    docs = _documents(rows, element)
+    listed = F.concat(F.lit("["), F.array_join("elements", ","), F.lit("]"))
+    body = (
+        F.when(col("source") == "kariyer", listed)
+        .when(col("source") == "themuse", F.concat(F.lit('{"results":'), listed, F.lit("}")))
+        .when((col("source") == "arbeitnow") & (col("payload_id") % 2 == 0), F.concat(F.lit('{"data":'), listed, F.lit("}")))
+        .otherwise(F.concat(F.lit('{"jobs":'), listed, F.lit("}")))
+    )
+    return docs.select(
+        "payload_id", "source", body.alias("body"), F.lit("json").alias("payload_type"),
+        source_rank(col("source")).alias("src_rank"),
+    )
+
+
+def card_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole view as HTML card documents."""
+    card = F.concat(
+        F.lit('<div data-testid="job-item"><a data-testid="job-title" href="/is-ilani/'), F.col("seq").cast("string"),
+        F.lit('"> '), F.col("title"), F.lit(' </a><div data-testid="company-name">'), F.col("company"),
+        F.lit('</div><div data-testid="job-location">'), F.col("location_raw"), F.lit("</div></div>"),
+    )
+    docs = _documents(listing_rows(spark, sf_dir).withColumn("source", F.lit("kariyer")), card)
+    body = F.concat(F.lit("<html><body>"), F.array_join("elements", "\n"), F.lit("</body></html>"))
+    return docs.select("payload_id", "source", body.alias("body"), F.lit("html").alias("payload_type"))
+
+
+def row_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole view as HTML tables of the generic layout."""
+    row = F.concat(
+        F.lit('<tr class="job" data-id="'), F.col("seq").cast("string"), F.lit('" data-tags="'), F.col("tags_csv"),
+        F.lit('" data-date="'), F.col("posted_at_raw"), F.lit('"><td class="company"><a class="preventLink" href="'),
+        F.coalesce("source_job_url", F.lit("#none")), F.lit('"><h2 itemprop="title">'), F.col("title"),
+        F.lit('</h2></a><h3 itemprop="name">'), F.col("company"), F.lit('</h3><div class="location">'),
+        F.col("location_raw"), F.lit('</div><div class="description"><p>'), F.col("description_text"),
+        F.lit('</p></div></td></tr>'),
+    )
+    docs = _documents(listing_rows(spark, sf_dir), row)
+    body = F.concat(F.lit("<table>"), F.array_join("elements", ""), F.lit("</table>"))
+    return docs.select(
+        "payload_id", "source", body.alias("body"), F.lit("https://example.com/list").alias("url"),
+        F.lit("page").alias("payload_type"),
+    )
