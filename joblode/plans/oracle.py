@@ -267,9 +267,9 @@ gap AS (SELECT candidate_id AS request_id, skill, jobs FROM candidates JOIN dema
 
 _RANKED = _jobs(f"""
 , lists AS (SELECT order_key AS list_id, list(id ORDER BY pos) AS ids FROM dated GROUP BY order_key),
-listed AS (SELECT list_id, unnest(ids) AS id, unnest(range(len(ids))) AS at FROM lists),
-firsts AS (SELECT list_id, id, min(at) AS at FROM listed GROUP BY list_id, id),
-ranked AS (SELECT list_id, id, row_number() OVER (PARTITION BY list_id ORDER BY at) - 1 AS r FROM firsts)
+listed AS (SELECT list_id, unnest(ids) AS id, unnest(range(len(ids))) AS spot FROM lists),
+firsts AS (SELECT list_id, id, min(spot) AS spot FROM listed GROUP BY list_id, id),
+ranked AS (SELECT list_id, id, row_number() OVER (PARTITION BY list_id ORDER BY spot) - 1 AS r FROM firsts)
 SELECT list_id, CAST(r AS INTEGER) AS "rank", CAST(greatest(100 - 10 * r, 10) AS INTEGER) AS match_score, id, title
 FROM ranked JOIN dated USING (id) WHERE r < 5""")
 
@@ -287,15 +287,15 @@ SELECT response_id, kind,
 FROM judged"""
 
 _RATE_CAP = """WITH RECURSIVE ordered AS (
-  SELECT user_id, event_id, epoch_us(ts) AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+  SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
   FROM events),
 walk AS (
-  SELECT user_id, event_id, n, 1 AS accepted, at AS newest, CAST(NULL AS BIGINT) AS older FROM ordered WHERE n = 1
+  SELECT user_id, event_id, n, 1 AS accepted, us AS newest, CAST(NULL AS BIGINT) AS older FROM ordered WHERE n = 1
   UNION ALL
   SELECT o.user_id, o.event_id, o.n,
-    CASE WHEN w.older IS NULL OR w.older <= o.at - 21600000000 THEN 1 ELSE 0 END,
-    CASE WHEN w.older IS NULL OR w.older <= o.at - 21600000000 THEN o.at ELSE w.newest END,
-    CASE WHEN w.older IS NULL OR w.older <= o.at - 21600000000 THEN w.newest ELSE w.older END
+    CASE WHEN w.older IS NULL OR w.older <= o.us - 21600000000 THEN 1 ELSE 0 END,
+    CASE WHEN w.older IS NULL OR w.older <= o.us - 21600000000 THEN o.us ELSE w.newest END,
+    CASE WHEN w.older IS NULL OR w.older <= o.us - 21600000000 THEN w.newest ELSE w.older END
   FROM walk w JOIN ordered o ON o.user_id = w.user_id AND o.n = w.n + 1)
 SELECT user_id, event_id, accepted FROM walk"""
 
