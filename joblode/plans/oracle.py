@@ -235,6 +235,14 @@ _VISIBLE = (
     r"'(?is)<(script|style)\b.*?</(script|style)\s*>', ' ', 'g'), '(?s)<[a-zA-Z/!][^>]*>', ' ', 'g')"
 )
 
+_PAGE_TEXT = _clean(
+    f"regexp_replace(replace(replace(replace({_VISIBLE}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;?', '&', 'g')"
+)
+_PAGE_LINK = (
+    "regexp_extract(url, '^[a-z]+://[^/?#]+') || "
+    """replace(regexp_extract(html, '<a href="([^"]*)"', 1), '&amp;', '&')"""
+)
+
 _CANDIDATES = """candidates AS (
   SELECT c_custkey AS candidate_id,
     CASE c_custkey % 4 WHEN 0 THEN ['python', 'sql'] WHEN 1 THEN ['kubernetes', 'postgresql', 'python']
@@ -366,6 +374,8 @@ QUALIFY row_number() OVER (PARTITION BY {_canonical('url')} ORDER BY page_id) =
         "SELECT event_id, json_extract_string(props, '$.k') AS k, "
         "CAST(json_extract_string(props, '$.k') AS BIGINT) AS k_number FROM events"
     ),
+    "html_text": f"SELECT page_id, {_PAGE_TEXT} AS text FROM pages",
+    "html_links": f"SELECT page_id, {_PAGE_LINK} AS link FROM pages",
     "ranked_list_resolve": _RANKED,
     "candidate_match": _MATCH,
     "skills_gap": _jobs(_GAP + " SELECT request_id, skill, jobs FROM gap"),
