@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from joblode import lexicon
-from joblode.functions.text import WORD, any_of, clean
+from joblode.functions.text import WORD, WORD_EDGE, any_of, by_alphabet, clean
 
 Lexicon = dict[str, list[str]]
 
@@ -28,7 +28,10 @@ def fold(text: Column) -> Column:
 
 
 def words(folded: Column) -> Column:
-    return F.regexp_extract_all(folded, F.lit(f"{WORD}+"), F.lit(0))
+    def found(pattern: str) -> Column:
+        return F.regexp_extract_all(folded, F.lit(pattern), F.lit(0))
+
+    return by_alphabet(folded, found(r"\w+"), found(f"{WORD}+"))
 
 
 def single_words(*lexicons: Lexicon) -> list[str]:
@@ -45,16 +48,15 @@ def vocabulary_hits(folded: Column, vocabulary: list[str]) -> Column:
 def phrase_present(folded: Column, phrase: str) -> Column:
     """Whole-word phrase test; the substring guards keep the regex off almost every row."""
     guards = [folded.contains(piece) for piece in _JOINER.sub("\n", phrase).split("\n") if piece]
-    first, last = phrase[0], phrase[-1]
-    pattern = (
-        (f"(?<!{WORD})" if first.isalnum() else "")
-        + (phrase if _JOINER.search(phrase) else re.escape(phrase))
-        + (f"(?!{WORD})" if last.isalnum() else "")
-    )
+    body = phrase if _JOINER.search(phrase) else re.escape(phrase)
+
+    def pattern(edge: str) -> str:
+        return (edge if phrase[0].isalnum() else "") + body + (edge if phrase[-1].isalnum() else "")
+
     test = guards[0]
     for guard in guards[1:]:
         test = test & guard
-    return test & folded.rlike(pattern)
+    return test & by_alphabet(folded, folded.rlike(pattern(r"\b")), folded.rlike(pattern(WORD_EDGE)))
 
 
 def label_present(folded: Column, hits: Column, entries: list[str]) -> Column:

@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+import re
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from joblode import lexicon
 from joblode.functions.text import WHITESPACE, bind, blank_to_null, clean
 
+# Character sets are written out: the regex engine turns a listed set into one table lookup, while a
+# union of ranges is a chain of calls per character.
+_LETTERS = string.ascii_letters + string.digits
+_SAFE = re.escape(_LETTERS + "-._~!$&'()*+,;=:@/%")
+_GRAPHIC = "".join(map(chr, range(0x21, 0x7F)))
+
+
+def _any_but(excluded: str) -> str:
+    return "[" + re.escape("".join(char for char in _GRAPHIC if char not in excluded)) + "]"
+
+
 # Already canonical: lower-case scheme and host, no trailing slash, no fragment. Passed through.
-_CANONICAL = r"^[a-z][a-z0-9+.\-]*://[a-z0-9.\-_]+(?:/[!-~&&[^/?#]]+)*(?:\?[!-~&&[^#]]+)?$"
+_HOST = re.escape(string.ascii_lowercase + string.digits + "-._")
+_CANONICAL = rf"^[a-z]+://[{_HOST}]+(?:/{_any_but('/?#')}+)*(?:\?{_any_but('#')}+)?$"
 
 # Already normalized web address: plain host, safe path, query and fragment, no dot segment.
+_LABEL = re.escape(string.ascii_lowercase + string.digits + "_")
 _NORMALIZED = (
-    r"^https?://(?:[a-z0-9_](?:[a-z0-9_\-]*[a-z0-9_])?\.)+[a-z]{2,}/(?!\.|%2[eE]|.*/(?:\.|%2[eE]))"
-    r"[A-Za-z0-9.\-_~!$&'()*+,;=:@/%]*(?:\?[A-Za-z0-9.\-_~!$&()*+,;=:@/?%]*)?(?:#[A-Za-z0-9.\-_~!$&'()*+,;=:@/?%]*)?$"
+    rf"^https?://(?:[{_LABEL}](?:[{_LABEL}\-]*[{_LABEL}])?\.)+[a-z]{{2,}}/(?!\.|%2[eE]|.*/(?:\.|%2[eE]))"
+    rf"[{_SAFE}]*(?:\?[{_SAFE.replace("'", '')}?]*)?(?:#[{_SAFE}?]*)?$"
 )
 
 _WEB_ADDRESS = r"(?is)^(https?):[/\\]*([^/\\?#]+)([^?#]*)(\?[^#]*)?(#.*)?$"
