@@ -1,0 +1,167 @@
+from datetime import datetime, timezone
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from joblode.operators import insights, upsert
+from joblode.schemas import JOB, JOB_FIELDS, STORED_JOB
+from joblode.sources.store import JobTable
+
+T1 = datetime(2026, 3, 22, 9, 0, tzinfo=timezone.utc)
+T2 = datetime(2026, 3, 23, 11, 30, tzinfo=timezone.utc)
+ORDER = [T.StructField("src_rank", T.IntegerType()), T.StructField("payload_id", T.StringType()), T.StructField("pos", T.LongType())]
+
+
+@pytest.fixture
+def jobs(spark):
+    def build(*rows):
+        base = {"source": "s", "title": "Engineer", "skills": ["python"], "src_rank": 0, "payload_id": "p"}
+        full = [base | {"pos": i} | row for i, row in enumerate(rows)]
+        schema = T.StructType([*JOB.fields, *ORDER])
+        return spark.createDataFrame([tuple(row.get(n) for n in schema.names) for row in full], schema)
+
+    return build
+
+
+def naive(moment):
+    return moment.replace(tzinfo=None)
+
+
+def by_id(table):
+    return {r.id: r for r in table.read().collect()}
+
+
+def test_insert_and_read(spark, jobs, tmp_path):
+    table = JobTable(spark, str(tmp_path))
+    assert table.read().count() == 0
+    kept = table.upsert(jobs({"id": "j1", "source_job_url": "https://x/1"}), T1)
+    assert [r.id for r in kept.collect()] == ["j1"]
+    row = by_id(table)["j1"]
+    assert row.created_at == row.updated_at == row.last_seen_at == naive(T1)
+    assert not set(table.jobs().columns) & {"created_at", "updated_at", "last_seen_at"}
+
+
+def test_same_url_from_another_source_updates_the_row(spark, jobs, tmp_path):
+    table = JobTable(spark, str(tmp_path))
+    table.upsert(jobs({"id": "j1", "source_job_url": "https://x/1"}), T1)
+    kept = table.upsert(jobs({"id": "j2", "source": "t", "source_job_url": "https://x/1", "title": "Senior"}), T2)
+    assert [r.id for r in kept.collect()] == ["j1"]
+    rows = by_id(table)
+    assert list(rows) == ["j1"]
+    assert (rows["j1"].source, rows["j1"].title) == ("t", "Senior")
+    assert (rows["j1"].created_at, rows["j1"].updated_at, rows["j1"].last_seen_at) == (naive(T1), naive(T2), naive(T2))
+
+
+def test_same_id_without_url_and_untouched_rows(spark, jobs, tmp_path):
+    table = JobTable(spark, str(tmp_path))
+    table.upsert(jobs({"id": "a"}, {"id": "b", "source_job_url": "https://x/b"}), T1)
+    table.upsert(jobs({"id": "a", "title": "New"}, {"id": "c"}), T2)
+    rows = by_id(table)
+    assert {i: (r.title, r.updated_at) for i, r in rows.items()} == {
+        "a": ("New", naive(T2)), "b": ("Engineer", naive(T1)), "c": ("Engineer", naive(T2)),
+    }
+    assert (rows["a"].insert_batch, rows["c"].insert_batch) == (1, 2)
+
+
+def test_rows_of_one_batch_merge(spark, jobs, tmp_path):
+    table = JobTable(spark, str(tmp_path))
+    kept = table.upsert(jobs(
+        {"id": "a", "source_job_url": "u", "title": "1"}, {"id": "b", "source_job_url": "u", "title": "2"},
+        {"id": "c", "title": "3"}, {"id": "c", "title": "4"},
+    ), T1)
+    assert [r.id for r in kept.orderBy("pos").collect()] == ["a", "a", "c", "c"]
+    assert {i: r.title for i, r in by_id(table).items()} == {"a": "2", "c": "4"}
+
+
+def test_merge_equals_one_record_after_the_other(spark, jobs, tmp_path):
+    """Against a plain replay, with ids that contain the URL as the normalizer makes them."""
+    import random
+
+    rng = random.Random(3)
+    table, plain = JobTable(spark, str(tmp_path)), {}
+    for step, clock in enumerate([T1, T2]):
+        rows = []
+        for n in range(60):
+            url = rng.choice([None, f"u{rng.randrange(12)}"])
+            rows.append({"id": f"{rng.randrange(9)}:{url}", "source_job_url": url, "title": f"{step}-{n}"})
+        expected_ids = []
+        for row in rows:
+            hit = next((i for i, r in plain.items() if row["source_job_url"] and r["source_job_url"] == row["source_job_url"]), None)
+            hit = hit or (row["id"] if row["id"] in plain else None)
+            target = hit or row["id"]
+            born = plain[target]["born"] if hit else clock
+            plain[target] = {**row, "born": born, "seen": clock}
+            expected_ids.append(target)
+        kept = table.upsert(jobs(*rows), clock)
+        assert [r.id for r in kept.orderBy("pos").collect()] == expected_ids
+    got = {i: (r.title, r.source_job_url, r.created_at, r.updated_at) for i, r in by_id(table).items()}
+    assert got == {i: (r["title"], r["source_job_url"], naive(r["born"]), naive(r["seen"])) for i, r in plain.items()}
+
+
+def test_conflicting_ids_are_named(spark, jobs):
+    stored = upsert.upgrade(jobs({"id": "a", "source_job_url": "u1"}, {"id": "b"}), T1)
+    batch = jobs({"id": "a", "source_job_url": "u2"}, {"id": "b"}, {"id": "c", "source_job_url": "x"})
+    assert [r.id for r in upsert.conflicting_ids(stored, batch).collect()] == ["a"]
+    assert sorted(r.id for r in upsert.new_records(stored, batch).collect()) == ["c"]
+
+
+def test_replayed_batch_changes_nothing(spark, jobs, tmp_path):
+    table = JobTable(spark, str(tmp_path))
+    for clock in (T1, T2):
+        kept = table.upsert(jobs({"id": "a", "source_job_url": "u"}), clock, "batch-1")
+        assert [r.id for r in kept.collect()] == ["a"]
+    assert by_id(table)["a"].updated_at == naive(T1) and table.commits().count() == 1
+
+
+def test_unfinished_snapshot_is_invisible(spark, jobs, tmp_path):
+    table = JobTable(spark, str(tmp_path))
+    table.upsert(jobs({"id": "a"}), T1)
+    upsert.upgrade(jobs({"id": "zzz"}), T1).write.parquet(str(tmp_path / "snapshots" / "2-dead"))
+    assert list(by_id(table)) == ["a"]
+
+
+def test_upgrade_of_an_older_table(spark, jobs, tmp_path):
+    legacy = jobs({"id": "a", "title": "Yazılım Geliştirici"}, {"id": "b", "title": None}).drop("language")
+    legacy = legacy.withColumn("created_at", F.when(F.col("id") == "a", F.lit(T1)))
+    table = JobTable(spark, str(tmp_path))
+    table.upgrade_from(legacy, T2)
+    rows = by_id(table)
+    assert table.read().columns == STORED_JOB.names
+    assert (rows["a"].language, rows["b"].language) == ("tr", "en")
+    assert rows["a"].created_at == rows["a"].last_seen_at == naive(T1) and rows["b"].updated_at == naive(T2)
+
+
+def test_export_roundtrip(jobs):
+    frame = jobs({"id": "a", "skills": ["b", "ü"], "posted_at": datetime(2026, 3, 20, 10, 0, 0, 5)}, {"id": "b", "skills": None})
+    flat = upsert.to_export(frame)
+    first = flat.filter("id = 'a'").first()
+    assert (first.skills_json, first.posted_at) == ('["b","ü"]', "2026-03-20T10:00:00.000005Z")
+    back = {r.id: r for r in upsert.from_export(flat).collect()}
+    assert (back["a"].skills, back["a"].posted_at) == (["b", "ü"], datetime(2026, 3, 20, 10, 0, 0, 5))
+    assert back["b"].skills == [] and list(upsert.from_export(flat).columns) == JOB_FIELDS
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 50])
+def test_insights(jobs, partitions):
+    frame = jobs(
+        {"id": "1", "company": "Acme", "location_raw": "Berlin, Germany", "skills": ["python", "fastapi"], "freshness_days": 1},
+        {"id": "2", "company": "Acme", "location_raw": None, "location_city": "Berlin", "location_country": "Germany",
+         "skills": ["python", "docker"], "freshness_days": 0},
+        {"id": "3", "company": "Orbit", "location_raw": "London", "skills": ["react", "go", "go"], "freshness_days": None},
+        {"id": "4", "company": "", "location_raw": "", "skills": [], "freshness_days": 0},
+    ).repartition(partitions)
+    order = ["pos"]
+    pairs = lambda f: [(r.name, r["count"]) for r in f.collect()]
+    assert pairs(insights.top_skills(frame, 5, order)) == [("python", 2), ("go", 2), ("docker", 1), ("fastapi", 1), ("react", 1)]
+    assert pairs(insights.top_companies(frame, 5, order)) == [("Acme", 2), ("Orbit", 1)]
+    assert pairs(insights.top_locations(frame, 1, order)) == [("Berlin, Germany", 2)]
+    assert tuple(insights.insight_report(insights.top_skills(frame, 2, order), "skills").first()) == ("skills", 2)
+
+
+def test_insights_on_an_empty_table_and_bounds(jobs):
+    empty = jobs({"id": "1"}).filter("false")
+    assert insights.top_skills(empty, 10, ["pos"]).count() == 0
+    for limit in (0, 51):
+        with pytest.raises(ValueError):
+            insights.top_companies(empty, limit, ["pos"])
