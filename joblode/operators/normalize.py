@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from datetime import date, datetime
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,76 @@ def evaluate_once(records: DataFrame) -> DataFrame:
     return marked.filter(F.col("_row") >= 0).drop("_row")
 
 
+@lru_cache(maxsize=32)
+def _expressions(application: str, as_of: date | datetime, lexicons: str) -> tuple[dict[str, Column], ...]:
+    """The column expressions, stage by stage.
+
+    Building them takes thousands of calls into the JVM. They name their inputs only by column, so one
+    set serves every frame of an application that asks for the same clock and lexicons.
+    """
+    col = F.col
+    tables = json.loads(lexicons)
+    remote_types, employment_types, seniority_levels = (
+        tables[name] for name in ("remote_types", "employment_types", "seniority_levels")
+    )
+    skills, aliases = tables["skills"], tables["aliases"]
+    vocabulary = terms.single_words(
+        terms.skill_lexicon(skills, aliases), remote_types, employment_types, seniority_levels
+    )
+    described = ("_url", "source_job_url", "company", "title", "location_raw", "posted_at_raw")
+    city, country = text.city_and_country(col("_location"))
+
+    def label(table: dict) -> Column:
+        return terms.first_label(col("_evidence"), col("_hits"), table)
+
+    cleaned = {
+        "_title": text.clean(col("title")),
+        "_location": text.clean(col("location_raw")),
+        "_description": text.clean(col("description_text")),
+        "_employment": text.clean(col("employment_type_raw")),
+        "_remote": text.clean(col("remote_type_raw")),
+        "_url": urls.valid_http_url(col("source_job_url")),
+        "posted_at": times.posted_at(col("posted_at_raw")),
+    }
+    prepared = {
+        "description_snippet": text.snippet(col("_description")),
+        "_core": text.title_core(col("_title")),
+        "source": text.first_present(col("source"), F.lit(tables["default_source"])),
+        "source_job_id": text.first_present(
+            col("source_job_id"), identity.fallback_source_job_id(*(col(name) for name in described))
+        ),
+    }
+    role = text.join_present(" ", col("_title"), col("description_snippet"))
+    side = text.join_present(" ", col("_location"), col("_employment"), col("_remote"), F.array_join(col("tags"), " "))
+    folded = {"_role": terms.fold(role), "_side": terms.fold(side)}
+    hits = {
+        "_role_hits": terms.vocabulary_hits(col("_role"), vocabulary),
+        "_side_hits": terms.vocabulary_hits(col("_side"), vocabulary),
+        "_evidence": text.join_present(" ", col("_role"), col("_side")),
+    }
+    merged_hits = {"_hits": F.concat("_role_hits", "_side_hits")}
+    records = {
+        "id": identity.job_id(col("source"), col("source_job_id"), col("_url")),
+        "source_job_url": col("_url"),
+        "language": text.language(col("_title")),
+        "normalized_title": F.when(
+            col("_title").isNotNull(),
+            F.coalesce(text.blank_to_null(text.title_case(col("_core"))), col("_title")),
+        ),
+        "location_city": city,
+        "location_country": country,
+        "remote_type": label(remote_types),
+        "employment_type": label(employment_types),
+        "seniority_level": label(seniority_levels),
+        "skills": terms.merged_skills(
+            col("tags"), col("_role"), col("_role_hits"),
+            skills=skills, aliases=aliases, ignored=tables["ignored_tags"],
+        ),
+        "freshness_days": times.freshness_days(col("posted_at"), as_of),
+    }
+    return cleaned, prepared, folded, hits, merged_hits, records
+
+
 def normalize_listings(
     listings: DataFrame,
     as_of: date | datetime,
@@ -51,79 +123,20 @@ def normalize_listings(
     The expensive intermediate texts are columns of their own stage, so each is computed once per row;
     stages whose outputs a caller does not select are pruned by the optimizer.
     """
-    col = F.col
-    carried = [name for name in listings.columns if name not in RAW_FIELDS]
-    spellings = terms.skill_lexicon(skills, aliases)
-    vocabulary = terms.single_words(spellings, remote_types, employment_types, seniority_levels)
-
-    usable = listings.filter(~times.epoch_out_of_range(col("posted_at_raw")))
-    cleaned = usable.select(
-        *carried,
-        *(col(name) for name in RAW_FIELDS),
-        text.clean(col("title")).alias("_title"),
-        text.clean(col("location_raw")).alias("_location"),
-        text.clean(col("description_text")).alias("_description"),
-        urls.valid_http_url(col("source_job_url")).alias("_url"),
-        times.posted_at(col("posted_at_raw")).alias("posted_at"),
-    )
-    prepared = cleaned.withColumns({
-        "description_snippet": text.snippet(col("_description")),
-        "_core": text.title_core(col("_title")),
-        "source": text.first_present(col("source"), F.lit(default_source)),
-        "source_job_id": text.first_present(
-            col("source_job_id"),
-            identity.fallback_source_job_id(
-                *(col(c) for c in ("_url", "source_job_url", "company", "title", "location_raw", "posted_at_raw"))
-            ),
-        ),
+    lexicons = json.dumps({
+        "default_source": default_source, "remote_types": remote_types, "employment_types": employment_types,
+        "seniority_levels": seniority_levels, "skills": skills, "aliases": aliases, "ignored_tags": ignored_tags,
     })
-    role_text = text.join_present(" ", col("_title"), col("description_snippet"))
-    side_text = text.join_present(
-        " ",
-        col("_location"),
-        text.clean(col("employment_type_raw")),
-        text.clean(col("remote_type_raw")),
-        F.array_join(col("tags"), " "),
-    )
-    folded = prepared.withColumns({"_role": terms.fold(role_text), "_side": terms.fold(side_text)})
-    hits = folded.withColumns({
-        "_role_hits": terms.vocabulary_hits(col("_role"), vocabulary),
-        "_side_hits": terms.vocabulary_hits(col("_side"), vocabulary),
-        "_evidence": text.join_present(" ", col("_role"), col("_side")),
-    }).withColumn("_hits", F.concat("_role_hits", "_side_hits"))
-
-    def label(table: dict) -> Column:
-        return terms.first_label(col("_evidence"), col("_hits"), table)
-
-    city, country = text.city_and_country(col("_location"))
-    records = hits.select(
-        identity.job_id(col("source"), col("source_job_id"), col("_url")).alias("id"),
-        "source",
-        "source_job_id",
-        col("_url").alias("source_job_url"),
-        text.language(col("_title")).alias("language"),
-        "title",
-        F.when(
-            col("_title").isNotNull(),
-            F.coalesce(text.blank_to_null(text.title_case(col("_core"))), col("_title")),
-        ).alias("normalized_title"),
-        "company",
-        "location_raw",
-        city.alias("location_city"),
-        country.alias("location_country"),
-        label(remote_types).alias("remote_type"),
-        label(employment_types).alias("employment_type"),
-        label(seniority_levels).alias("seniority_level"),
-        "salary_text",
-        "description_snippet",
-        terms.merged_skills(
-            col("tags"), col("_role"), col("_role_hits"), skills=skills, aliases=aliases, ignored=ignored_tags
-        ).alias("skills"),
-        "posted_at",
-        times.freshness_days(col("posted_at"), as_of).alias("freshness_days"),
-        *carried,
-    )
-    return evaluate_once(records)
+    application = listings.sparkSession.sparkContext.applicationId
+    cleaned, *middle, records = _expressions(application, as_of, lexicons)
+    carried = [name for name in listings.columns if name not in RAW_FIELDS]
+    usable = listings.filter(~times.epoch_out_of_range(F.col("posted_at_raw")))
+    staged = usable.select(*carried, *RAW_FIELDS, *(value.alias(name) for name, value in cleaned.items()))
+    for stage in middle:
+        staged = staged.withColumns(stage)
+    return evaluate_once(staged.select(
+        *(records[name].alias(name) if name in records else name for name in JOB_FIELDS), *carried
+    ))
 
 
 def job_columns(jobs: DataFrame, order_columns: list[str] = ORDER_COLUMNS) -> DataFrame:
