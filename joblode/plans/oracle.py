@@ -307,6 +307,38 @@ walk AS (
   FROM walk w JOIN ordered o ON o.user_id = w.user_id AND o.n = w.n + 1)
 SELECT user_id, event_id, accepted FROM walk"""
 
+_PROFILES = """profiles AS (
+  SELECT c_custkey AS candidate_id, c_custkey % 12 AS years,
+    CASE c_custkey % 4 WHEN 0 THEN '["Python","sql"]' WHEN 1 THEN '["kubernetes","postgresql","python"]'
+      WHEN 2 THEN '["node","typescript","java"]' ELSE '["cobol"]' END AS known,
+    CASE c_custkey % 3 WHEN 0 THEN 'Asia' WHEN 1 THEN 'istanbul' ELSE 'not given' END AS place,
+    CASE WHEN c_custkey % 5 = 0 THEN 'true' WHEN c_custkey % 5 < 3 THEN 'false' ELSE 'not given' END AS remote,
+    CASE c_custkey % 3 WHEN 0 THEN 'Senior Python API engineer' WHEN 1 THEN 'data engineer (remote)' ELSE 'Astronaut' END AS target
+  FROM customer)"""
+
+_COMPACT = ", ".join(
+    f"'{name}': {name}" for name in (
+        "id", "title", "normalized_title", "company", "location_raw", "remote_type", "employment_type",
+        "seniority_level", "skills", "language",
+    )
+)
+
+_PROMPTS = _jobs(f"""
+, {_PROFILES},
+pool AS (SELECT *, row_number() OVER (ORDER BY {_STORED_ORDER}) AS place FROM dated QUALIFY place <= 100),
+listed AS (SELECT '[' || string_agg(CAST(to_json({{{_COMPACT}}}) AS VARCHAR), ', ' ORDER BY place) || ']' AS jobs FROM pool)
+SELECT candidate_id, 'Candidate skills: ' || known || chr(10) || 'Years of experience: ' || CAST(years AS VARCHAR) || chr(10)
+  || 'Preferred location: ' || place || chr(10) || 'Prefers remote work: ' || remote || chr(10) || chr(10)
+  || 'Open jobs: ' || jobs || chr(10) || chr(10)
+  || 'Answer with a JSON array of the ids of the 5 best jobs, best first, and nothing else.' AS prompt
+FROM profiles, listed""")
+
+_GAP_PROMPTS = f"""WITH {_PROFILES}
+SELECT candidate_id AS request_id, 'Known skills: ' || known || chr(10) || 'Target job title: ' || target || chr(10) || chr(10)
+  || 'Answer with a JSON object and nothing else. Keys: missing_skills (array of strings), learning_priority (string), '
+  || 'estimated_learning_time (string), recommended_resources (array of strings).' AS prompt
+FROM profiles"""
+
 _QUARANTINE = """
 SELECT event_id AS payload_id, CAST(NULL AS BIGINT) AS pos, 'payload_not_json' AS reject_reason FROM events WHERE event_type = 'error'
 UNION ALL SELECT event_id, 0, 'record_not_object' FROM events WHERE event_type = 'click'
@@ -382,6 +414,8 @@ QUALIFY row_number() OVER (PARTITION BY {_canonical('url')} ORDER BY page_id) =
     "missing_skills": _jobs(
         _GAP + " SELECT request_id, string_agg(skill, ',' ORDER BY jobs DESC, skill) AS missing_skills FROM gap GROUP BY request_id"
     ),
+    "prompt_table": _PROMPTS,
+    "gap_prompts": _GAP_PROMPTS,
     "response_clean": _RESPONSES,
     "event_rate_cap": _RATE_CAP,
 }
