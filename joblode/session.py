@@ -1,12 +1,15 @@
-"""Session helper for tests and the benchmark; library code takes the caller's session."""
+"""Session helpers: a local session for tests and the benchmark, the shared folder, code for the executors."""
 
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+PACKAGE = Path(__file__).resolve().parent
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -22,23 +25,30 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.variant.allowDuplicateKeys", "true")
+        .config(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="joblode-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-_local_folders: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names for cut lineage; a local one only in local mode without one."""
+    """The shared folder the session names for cut lineage; a folder of the warehouse where it names none."""
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
+    return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_joblode").rstrip("/")
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand the package to the executors, once per application."""
     app = spark.sparkContext.applicationId
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="joblode-")
-    return _local_folders[app]
+    if app in _shipped:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="joblode-")) / "joblode.zip"
+    with zipfile.ZipFile(archive, "w") as package:
+        for file in PACKAGE.rglob("*.py"):
+            package.write(file, file.relative_to(PACKAGE.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
