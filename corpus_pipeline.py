@@ -8,11 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joblode.llm import bpe, exact_dedup, langid
+from joblode.llm import bpe, exact_dedup, langid, mixing, near_dedup
 from joblode.llm.common import doc_remainder, fresh, scratch, with_columns_of
+from joblode.llm.queries import domain
 from joblode.session import ship_package
 
 MIN_SCORE = 0.5
+MIX_SHARE, MIX_SEED = 0.9, 11
+#: (level, domain, lang, source, weight); all other nodes weigh 1.
+MIX_WEIGHTS = [(1, "d0", None, None, 2.0)]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,6 +34,18 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.drop_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that share at least 0.8 of their five-word shingles the smallest doc_id stays."""
+    ship_package(spark)
+    return near_dedup.drop_near(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A share of all tokens, by the weights of domains, languages and sources; one epoch at most."""
+    weights = spark.createDataFrame(MIX_WEIGHTS, mixing.WEIGHTS)
+    return mixing.keep_mix(docs, weights, MIX_SHARE, MIX_SEED, domain())
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left."""
     ship_package(spark)
@@ -42,6 +58,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language_id),
     ("exact_dedup", exact_copies),
+    ("near_dedup", near_copies),
+    ("mixing", mix_sources),
     ("bpe", encode),
 ]
 

@@ -5,12 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from joblode.llm import bpe, exact_dedup, langid
+from joblode.llm import bpe, embedding_dedup, exact_dedup, langid, mixing, near_dedup, ngram_lm, pii, sharding, warc
 from joblode.llm.common import doc_remainder, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+SHARDS = 40
+MIX_SEED, MIX_SHARE, MIX_EPOCHS = 11, 0.6, 3
+#: (level, domain, lang, source, weight); all other nodes weigh 1.
+MIX_WEIGHTS = [
+    (1, "d0", None, None, 6.0), (1, "d1", None, None, 3.0), (1, "d2", None, None, 1.0),
+    (2, "d0", "en", None, 2.0), (2, "d1", "en", None, 4.0), (2, "d2", "es", None, 5.0),
+    (3, "d0", "en", "src0", 8.0), (3, "d1", "fr", "src1", 0.5), (3, "d2", "de", "src2", 0.0),
+]
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +35,24 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to archives and read back; pages carry no time, so page_id seconds after 2020 stand in for it."""
+    pages = table(spark, sf_dir, "pages")
+    return warc.round_trip(pages, F.lit(1577836800) + F.col("page_id")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured"
+    )
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near copies."""
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between embeddings."""
+    return embedding_dedup.find_near(table(spark, sf_dir, "embeddings")).drop("linkable")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text, learned from two thirds of the labelled documents."""
     docs = table(spark, sf_dir, "documents")
@@ -34,16 +61,89 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text."""
+    return pii.find_personal(table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into shards."""
+    return sharding.shard(table(spark, sf_dir, "documents"), SHARDS)
+
+
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every text."""
+    return ngram_lm.score(table(spark, sf_dir, "documents"), doc_remainder("doc_id", 5) == 1)
+
+
+def domain() -> Column:
+    """Domain of a source, by its last character."""
+    return F.concat(F.lit("d"), (F.ascii(F.right("source", F.lit(1))) % 3).cast("string"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document."""
+    weights = spark.createDataFrame(MIX_WEIGHTS, mixing.WEIGHTS)
+    return mixing.select_mix(table(spark, sf_dir, "documents"), weights, MIX_SHARE, MIX_EPOCHS, MIX_SEED, domain=domain())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_warc": op3_warc,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_language_id": op6_language_id,
+    "op7_pii": op7_pii,
+    "op8_sharding": op8_sharding,
+    "op9_lm_scores": op9_lm_scores,
+    "op10_mixing": op10_mixing,
 }
 
+
+def _mix_sql() -> str:
+    rows = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in row) + ")" for row in MIX_WEIGHTS)
+    paths = ["concat_ws('/', " + ", ".join(f"coalesce('=' || {c}, 'null')" for c in mixing.LEVELS[:k]) + ")" for k in (1, 2, 3)]
+    head = f"""
+    WITH w(level, domain, lang, source, weight) AS (VALUES {rows}),
+    d AS (SELECT doc_id, 'd' || ascii(right(source, 1)) % 3 AS domain, lang, source,
+          len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\v\\f\\r]+')) AS n_tokens FROM documents),
+    l AS (SELECT domain, lang, source, sum(n_tokens)::DOUBLE AS supply, {paths[0]} AS p1, {paths[1]} AS p2, {paths[2]} AS p3 FROM d GROUP BY domain, lang, source),
+    n0 AS (SELECT l.*, '' AS p0,
+      coalesce((SELECT weight FROM w WHERE level = 1 AND {paths[0]} = p1), 1.0)::DOUBLE AS w1,
+      coalesce((SELECT weight FROM w WHERE level = 2 AND {paths[1]} = p2), 1.0)::DOUBLE AS w2,
+      coalesce((SELECT weight FROM w WHERE level = 3 AND {paths[2]} = p3), 1.0)::DOUBLE AS w3 FROM l),
+    n AS (SELECT *, CASE WHEN w1 > 0 AND w2 > 0 AND w3 > 0 THEN supply * {MIX_EPOCHS} ELSE 0 END AS cap FROM n0),
+    b0 AS (SELECT p0, least(floor(sum(supply) * {MIX_SHARE}::DOUBLE), sum(cap)) AS budget FROM n GROUP BY p0)"""
+    for k in (1, 2, 3):
+        head += f""",
+    t{k} AS (SELECT c.*, b.budget, c.cap / c.weight AS height FROM
+      (SELECT p{k}, p{k - 1}, w{k} AS weight, sum(cap) AS cap FROM n GROUP BY ALL HAVING sum(cap) > 0) c JOIN b{k - 1} b USING (p{k - 1})),
+    u{k} AS (SELECT *, (budget - (sum(cap) OVER (PARTITION BY p{k - 1} ORDER BY height, p{k} ROWS UNBOUNDED PRECEDING) - cap))
+      / sum(weight) OVER (PARTITION BY p{k - 1} ORDER BY height DESC, p{k} DESC ROWS UNBOUNDED PRECEDING) AS water FROM t{k}),
+    b{k} AS (SELECT p{k}, CASE WHEN height <= water THEN cap ELSE greatest((min({{'h': height, 'p': p{k}, 'w': water}})
+      FILTER (WHERE height > water) OVER (PARTITION BY p{k - 1})).w, 0) * weight END AS budget FROM u{k})"""
+    return head + f""",
+    plan AS (SELECT n.domain, n.lang, n.source, supply, floor(coalesce(budget, 0) + 1e-6)::BIGINT AS target FROM n LEFT JOIN b3 USING (p3)),
+    e AS (SELECT d.*, target, supply::BIGINT AS supply, CASE WHEN supply > 0 THEN target // supply::BIGINT ELSE 0 END AS whole FROM d JOIN plan p
+      ON d.domain IS NOT DISTINCT FROM p.domain AND d.lang IS NOT DISTINCT FROM p.lang AND d.source IS NOT DISTINCT FROM p.source),
+    k AS (SELECT *, md5('{MIX_SEED}-' || (whole + 1) || '-' || doc_id) AS key FROM e),
+    c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key RANGE UNBOUNDED PRECEDING) AS upto FROM k)
+    SELECT doc_id, domain, lang, source, n_tokens, target,
+      CASE WHEN n_tokens > 0 THEN whole + (upto <= target - whole * supply)::INT ELSE 0 END::BIGINT AS copies FROM c"""
+
+
 ORACLE: dict[str, str] = {
     "op2_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
         g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(body) AS text_sha256
         FROM d JOIN g USING (body)""",
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        g AS (SELECT body, max(page_id) AS keep FROM p WHERE strlen(body) >= 1000 GROUP BY body)
+        SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest,
+          CASE WHEN page_id < keep THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN page_id < keep THEN keep END AS refers_to, 1577836800 + page_id AS captured FROM p LEFT JOIN g USING (body)""",
+    "op10_mixing": _mix_sql(),
 }
