@@ -21,6 +21,8 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from joblode.llm.common import quoted
+
 MATRIX_BYTES = 1024
 MATRIX_CELLS = 1 << 21
 CACHED_CHUNKS = 300_000
@@ -264,17 +266,16 @@ def tokenize(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text",
     """Encode every text, decode it again, and return the columns `keep` with the `outputs` asked for.
 
     vocabulary: path of the rank file on the driver (its size is fixed; it is broadcast). outputs: n_tokens,
-    token_ids, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded (bytes), decoded_sha256.
+    token_ids, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded (bytes), decoded_sha256. A column to
+    keep that has the name of an output is replaced by it.
     """
     spark = docs.sparkSession
     ranks = read_ranks(vocabulary)
     shared = spark.sparkContext.broadcast((ranks, pattern))
     name = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
-    clash = {c.lower() for c in keep} & set(outputs)
-    if clash:
-        raise ValueError(f"columns named like outputs: {sorted(clash)}")
-    rows = docs.select(*keep, docs[text].cast("string").alias("__text"))
-    fields = [f for f in rows.schema.fields if f.name in keep]
+    keep = tuple(c for c in keep if c.lower() not in outputs)
+    rows = docs.select(*(quoted(c) for c in keep), quoted(text).cast("string").alias("__text"))
+    fields = rows.schema.fields[:-1]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{o} {OUTPUTS[o][0]}" for o in outputs])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joblode.llm.bpe import by_size
+from joblode.llm.common import fresh, quoted
 
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 500
@@ -90,29 +91,31 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
 def identify(docs: DataFrame, learn_from: Column | None = None, text: str = "text", lang: str = "lang", prefix: str = "") -> DataFrame:
     """docs with lang_pred and score (the posterior probability, 0 to 1), names preceded by `prefix`.
 
-    learn_from: which labelled rows to learn from (all if None). Labels are read for learning only.
+    learn_from: which labelled rows to learn from (all if None). Labels are read for learning only. A column of docs
+    that has the name of a new one is replaced.
     """
     langs, table, priors = learn(docs if learn_from is None else docs.where(learn_from), text, lang)
     shared = docs.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(table.T), priors))
     names = [f"{prefix}lang_pred", f"{prefix}score"]
-    if {c.lower() for c in docs.columns} & set(names):
-        raise ValueError(f"columns named like outputs: {names}; choose a prefix")
+    kept = [f for f in docs.schema.fields if f.name.lower() not in names]
+    (body,) = fresh(docs, "text_read")
+    rows = docs.select(*(quoted(f.name) for f in kept), quoted(text).cast("string").alias(body))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table, priors = shared.value
         for batch in batches:
-            for part, texts in by_size(batch, text):
+            for part, texts in by_size(batch, body):
                 hashed, sizes, has = ngrams(texts)
                 best, score = _best(hashed, sizes, table, priors) if langs else (np.zeros(len(texts), int), np.zeros(len(texts)))
                 has = has & bool(langs)
                 pred = [langs[k] if ok else UNKNOWN for k, ok in zip(best, has, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(pred, pa.string()), pa.array(np.where(has, score, 0.0), pa.float64())],
-                    names=[*part.schema.names, *names],
+                    [*part.columns[:-1], pa.array(pred, pa.string()), pa.array(np.where(has, score, 0.0), pa.float64())],
+                    names=[*part.schema.names[:-1], *names],
                 )
 
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{names[0]}` string", f"`{names[1]}` double"])
-    return docs.mapInArrow(predict, ddl)
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{names[0]}` string", f"`{names[1]}` double"])
+    return rows.mapInArrow(predict, ddl)
 
 
 def _best(hashed: np.ndarray, sizes: np.ndarray, table: np.ndarray, priors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -79,9 +79,20 @@ def select_mix(
     doc_id: str = "doc_id", text: str = "text", domain: Column | str = "domain", lang: str = "lang", source: str = "source",
 ) -> DataFrame:
     """One row per row of docs: doc_id, domain, lang, source, n_tokens, target (of its leaf), copies (0: not selected)."""
-    name = F.coalesce(quoted(doc_id).cast("string"), F.concat(F.lit("null-"), F.md5(F.coalesce(quoted(text).cast("string"), F.lit("")).cast("binary"))))
+    return _mix(docs, weights, share, epochs, seed, doc_id, text, domain, lang, source).drop("name")
+
+
+def _name(doc_id: str, text: str) -> Column:
+    body = F.coalesce(quoted(text).cast("string"), F.lit(""))
+    return F.coalesce(quoted(doc_id).cast("string"), F.concat(F.lit("null-"), F.md5(body.cast("binary"))))
+
+
+def _mix(
+    docs: DataFrame, weights: DataFrame, share: float, epochs: int, seed: int,
+    doc_id: str, text: str, domain: Column | str, lang: str, source: str,
+) -> DataFrame:
     rows = docs.select(
-        quoted(doc_id).cast("long").alias("doc_id"), name.alias("name"), (quoted(domain) if isinstance(domain, str) else domain).cast("string").alias("domain"),
+        quoted(doc_id).cast("long").alias("doc_id"), _name(doc_id, text).alias("name"), (quoted(domain) if isinstance(domain, str) else domain).cast("string").alias("domain"),
         quoted(lang).cast("string").alias("lang"), quoted(source).cast("string").alias("source"), token_count(text).alias("n_tokens"),
     )
     rows = staged(rows.withColumn("leaf", path(LEVELS)), "mix-rows")
@@ -92,11 +103,11 @@ def select_mix(
     plan = staged(plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("supply")), "mix-plan")
     key = F.md5(F.concat_ws("-", F.lit(str(seed)), (F.col("whole") + 1).cast("string"), "name").cast("binary"))
     keyed = attach(rows.select("doc_id", "name", "n_tokens", "leaf"), plan, "leaf", "size", total)
-    keyed = staged(keyed.withColumn("key", key).drop("name"), "mix-keys")
+    keyed = staged(keyed.withColumn("key", key), "mix-keys")
     cuts = _cuts(keyed, plan, total)
     taken = attach(keyed, cuts, "leaf", "leaf_size", total)
     copies = F.col("whole") + F.when(F.col("key") <= F.col("cut"), 1).otherwise(0)
-    return taken.select("doc_id", *LEVELS, "n_tokens", "target", F.when(F.col("n_tokens") > 0, copies).otherwise(0).cast("long").alias("copies"))
+    return taken.select("doc_id", "name", *LEVELS, "n_tokens", "target", F.when(F.col("n_tokens") > 0, copies).otherwise(0).cast("long").alias("copies"))
 
 
 def _cuts(keyed: DataFrame, plan: DataFrame, total: int) -> DataFrame:
@@ -119,7 +130,8 @@ def _cuts(keyed: DataFrame, plan: DataFrame, total: int) -> DataFrame:
 
 def keep_mix(docs: DataFrame, weights: DataFrame, share: float, seed: int, domain: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of docs that one epoch selects, with their columns."""
-    (chosen,) = fresh(docs, "chosen_id")
-    picked = select_mix(docs, weights, share, 1, seed, doc_id, text, domain, lang, source).where("copies > 0 and doc_id is not null")
-    ids = staged(picked.select(F.col("doc_id").alias(chosen)).distinct(), "mix-chosen")
-    return with_columns_of(docs.join(ids, quoted(doc_id).cast("long") == F.col(chosen), "left_semi"), docs.columns)
+    name, chosen = fresh(docs, "name", "chosen")
+    picked = _mix(docs, weights, share, 1, seed, doc_id, text, domain, lang, source).where("copies > 0")
+    names = staged(picked.select(F.col("name").alias(chosen)).distinct(), "mix-chosen")
+    rows = docs.withColumn(name, _name(doc_id, text))
+    return with_columns_of(rows.join(names, F.col(name) == F.col(chosen), "left_semi"), docs.columns)

@@ -54,7 +54,7 @@ def unpack(data: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).reshape(-1).view(dtype)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa.RecordBatch]:
     ids, sizes, held, flat = [], [], [], []
     for batch in batches:
         for part, texts in by_size(batch, "text"):
@@ -65,7 +65,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sizes.append(len(words) + 1)
                 flat += words
                 flat.append(END)
-            if len(flat) >= BLOCK_TOKENS:
+            if len(flat) >= block_tokens:
                 yield _block(ids, sizes, held, flat)
                 ids, sizes, held, flat = [], [], [], []
     if ids:
@@ -172,13 +172,13 @@ def learn_weights(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = docs.select(
         quoted(doc_id).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), quoted(text).cast("string").alias("text")
     )
-    blocks = staged(rows.mapInArrow(_blocks, BLOCK), "lm-blocks")
+    blocks = staged(rows.mapInArrow(lambda batches: _blocks(batches, block_tokens), BLOCK), "lm-blocks")
     sums = blocks.agg(F.coalesce(F.sum("train"), F.lit(0)), F.coalesce(F.sum("starts"), F.lit(0)), F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()
     tokens, starts, every = (int(x) for x in sums)
     bits = max(0, (every // RANGE_TOKENS).bit_length())

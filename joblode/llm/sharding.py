@@ -6,7 +6,7 @@ the packer sees a bounded number of items whatever the input. Items go, largest
 product of the item with the shard's residual capacity is highest; the sizes come out near equal (law `bytes`).
 
 Within an item rows are numbered in order of id; large items are cut into cells of equal hash range first, so no task
-sorts more than about CELL_ROWS rows of one item. The offsets of items and cells make the slots of a shard gapless.
+sorts more than a few times the rows of an average bundle. The offsets of items and cells make the slots of a shard gapless.
 
 Null text counts as empty; a null id sorts first. Rows that repeat an id and a text get slots of their own.
 """
@@ -38,13 +38,14 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", bundles: int = BUNDLES, cells: int = 1) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", bundles: int = BUNDLES) -> DataFrame:
     """One row per row of docs: doc_id, size, tokens, text_crc32, law, shard, slot, grown_shard (null for this law)."""
     body = F.coalesce(quoted(text).cast("string"), F.lit(""))
     rows = staged(
         docs.select(
             quoted(doc_id).cast("long").alias("doc_id"), (F.octet_length(body) + OVERHEAD).cast("long").alias("size"),
             token_count(text).alias("tokens"), F.crc32(body.cast("binary")).alias("text_crc32"), F.md5(body.cast("binary")).alias("text_key"),
+            F.coalesce(quoted(doc_id).cast("long"), F.monotonically_increasing_id()).alias("spread"),  # fixed by staging
         ),
         "shard-rows",
     )
@@ -54,10 +55,10 @@ def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str =
     pieces = F.greatest(*(F.ceil(F.col(m) / half[m]) for m in MEASURES), F.lit(1)).cast("long")
     # a group over half a shard in some measure: at most 2 * 3 * shards of them
     large = F.broadcast(staged(groups.withColumn("pieces", pieces).where("pieces > 1").select("text_key", "pieces"), "shard-large"))
-    spread = F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.col("pieces"))
+    piece = F.pmod(F.xxhash64("spread", F.lit("piece")), F.col("pieces"))
     small = F.concat(F.lit("b"), F.pmod(F.xxhash64("text_key"), F.lit(bundles)).cast("string"))
     items = rows.join(large, "text_key", "left").withColumn(
-        "item", F.when(F.col("pieces").isNull(), small).otherwise(F.concat(F.lit("g"), "text_key", F.lit("-"), spread.cast("string")))
+        "item", F.when(F.col("pieces").isNull(), small).otherwise(F.concat(F.lit("g"), "text_key", F.lit("-"), piece.cast("string")))
     )
     per_cell = max(1, -(-sums["ones"] // bundles)) * 4
     measured = items.groupBy("item").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("ones")).toPandas().sort_values("item", ignore_index=True)
@@ -66,7 +67,7 @@ def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str =
     spark = docs.sparkSession
     placed = F.broadcast(spark.createDataFrame(pd.DataFrame({c: measured[c] for c in ("item", "shard", "cells")}) if len(measured) else [], "item string, shard long, cells long"))
     placed_rows = staged(
-        items.join(placed, "item").withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit("cell")), F.col("cells")))
+        items.join(placed, "item").withColumn("cell", F.pmod(F.xxhash64("spread", F.lit("cell")), F.col("cells")))
         .select("doc_id", "size", "tokens", "text_crc32", "shard", "item", "cell"),
         "shard-items",
     )
