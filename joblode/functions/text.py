@@ -73,6 +73,17 @@ def snippet(cleaned: Column, size: int = lexicon.SNIPPET_LENGTH) -> Column:
     return F.when(F.length(cleaned) <= size, cleaned).otherwise(cut)
 
 
+def noise_passes(words: list[str]) -> list[list[str]]:
+    """The list cut around entries that end in an optional character."""
+    passes: list[list[str]] = [[]]
+    for word in words:
+        if word.endswith("?"):
+            passes += [[word], []]
+        else:
+            passes[-1].append(word)
+    return [group for group in passes if group]
+
+
 def title_core(
     cleaned: Column,
     bracket_words: list[str] = lexicon.TITLE_BRACKET_WORDS,
@@ -80,17 +91,17 @@ def title_core(
 ) -> Column:
     """Title without bracketed metadata, separators and noise words; may come out empty.
 
-    The noise words go in one pass. That equals one pass per word as long as no noise phrase starts
-    with the last word of another one, which holds for the default list.
+    The noise words go one after the other. Neighbours in the list share a pass, but an entry whose last
+    character is optional gets one of its own: it can only take that character while its neighbour stands.
     """
 
     def strip(flags: str, edge: str) -> Column:
         bracket = rf"{flags}[(\[{{][^)\]}}]*{edge}(?:{'|'.join(bracket_words)}){edge}[^)\]}}]*[)\]}}]"
-        noise = rf"{flags}{edge}(?:{'|'.join(noise_words)}){edge}"
         core = F.regexp_replace(cleaned, bracket, " ")
         core = F.regexp_replace(core, r" *\| *", " ")
         core = F.regexp_replace(core, " [-/] ", " ")
-        core = F.regexp_replace(core, noise, " ")
+        for words in noise_passes(noise_words):
+            core = F.regexp_replace(core, rf"{flags}{edge}(?:{'|'.join(words)}){edge}", " ")
         return F.regexp_replace(core, r" *[()\[\]{},;:][()\[\]{},;: ]*| {2,}", " ")
 
     return F.trim(by_alphabet(cleaned, strip("(?i)", r"\b"), strip("(?iu)", WORD_EDGE)), F.lit(" -_/"))

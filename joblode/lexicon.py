@@ -140,6 +140,7 @@ PAGE_SIZE_DEFAULT = 10
 PAGE_SIZE_MAX = 50
 INSIGHT_LIMIT_DEFAULT = 10
 MATCH_POOL = 100
+MATCH_POOL_MAX = 10_000
 MATCH_RESULTS = 5
 
 # CSS selectors of the two HTML layouts, tried left to right.

@@ -38,11 +38,11 @@ def evaluate_once(records: DataFrame) -> DataFrame:
 
 
 @lru_cache(maxsize=32)
-def _expressions(application: str, as_of: date | datetime, lexicons: str) -> tuple[dict[str, Column], ...]:
+def _expressions(application: str, lexicons: str) -> tuple[dict[str, Column], ...]:
     """The column expressions, stage by stage.
 
     Building them takes thousands of calls into the JVM. They name their inputs only by column, so one
-    set serves every frame of an application that asks for the same clock and lexicons.
+    set serves every frame of an application that asks for the same lexicons, whatever its clock.
     """
     col = F.col
     tables = json.loads(lexicons)
@@ -69,7 +69,7 @@ def _expressions(application: str, as_of: date | datetime, lexicons: str) -> tup
         "posted_at": times.posted_at(col("posted_at_raw")),
     }
     prepared = {
-        "description_snippet": text.snippet(col("_description")),
+        "description_snippet": text.snippet(col("_description"), tables["snippet_length"]),
         "_core": text.title_core(col("_title")),
         "source": text.first_present(col("source"), F.lit(tables["default_source"])),
         "source_job_id": text.first_present(
@@ -102,7 +102,6 @@ def _expressions(application: str, as_of: date | datetime, lexicons: str) -> tup
             col("tags"), col("_role"), col("_role_hits"),
             skills=skills, aliases=aliases, ignored=tables["ignored_tags"],
         ),
-        "freshness_days": times.freshness_days(col("posted_at"), as_of),
     }
     return cleaned, prepared, folded, hits, merged_hits, records
 
@@ -117,20 +116,28 @@ def normalize_listings(
     skills: dict = lexicon.SKILLS,
     aliases: dict = lexicon.SKILL_ALIASES,
     ignored_tags: list = lexicon.IGNORED_TAGS,
+    snippet_length: int = lexicon.SNIPPET_LENGTH,
+    where: Column | str | None = None,
 ) -> DataFrame:
     """Every job field, plus whatever other columns the listings carry (order columns, for one).
 
+    where: a test on columns of the listings. It runs before anything is computed and reaches the scan,
+    which a filter on the result does not: see evaluate_once(). snippet_length: characters of the
+    description that are kept; labels and skills are read from the title and this snippet.
+
     The expensive intermediate texts are columns of their own stage, so each is computed once per row;
     stages whose outputs a caller does not select are pruned by the optimizer.
     """
     lexicons = json.dumps({
         "default_source": default_source, "remote_types": remote_types, "employment_types": employment_types,
         "seniority_levels": seniority_levels, "skills": skills, "aliases": aliases, "ignored_tags": ignored_tags,
+        "snippet_length": snippet_length,
     })
     application = listings.sparkSession.sparkContext.applicationId
-    cleaned, *middle, records = _expressions(application, as_of, lexicons)
+    cleaned, *middle, records = _expressions(application, lexicons)
+    records = records | {"freshness_days": times.freshness_days(F.col("posted_at"), as_of)}
     carried = [name for name in listings.columns if name not in RAW_FIELDS]
-    usable = listings.filter(~times.epoch_out_of_range(F.col("posted_at_raw")))
+    usable = (listings if where is None else listings.filter(where)).filter(~times.epoch_out_of_range(F.col("posted_at_raw")))
     staged = usable.select(*carried, *RAW_FIELDS, *(value.alias(name) for name, value in cleaned.items()))
     for stage in middle:
         staged = staged.withColumns(stage)

@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +51,8 @@ def rate_cap(
 ) -> DataFrame:
     """(key, ts, event_id, accepted) under the given column names, one row per event.
 
+    Events without a key share one; events without a time are not accepted.
+
     Three narrow columns go through the computation. Each task reads its stretches in time order as a
     stream of batches and remembers at most `limit` times, so no group is ever held in memory.
     """
@@ -62,24 +64,31 @@ def rate_cap(
         F.col(key).alias("key"), at.alias("at"), F.col(event_id).alias("event_id"),
         F.floor(at / window).alias("cell"),
     )
-    placed = stamps.join(quiet_stretches(stamps, window), ["key", "cell"]).select("key", "stretch", "at", "event_id")
-    ordered = placed.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "at", "event_id")
+    timed = stamps.filter("at IS NOT NULL")
+    cells = quiet_stretches(timed, window).select(F.col("key").alias("_key"), F.col("cell").alias("_cell"), "stretch")
+    placed = timed.join(cells, F.col("key").eqNullSafe(F.col("_key")) & (F.col("cell") == F.col("_cell"))).select(
+        "key", "stretch", "at", "event_id", F.xxhash64(F.col("key").isNull(), "key", "stretch").alias("run")
+    )
+    ordered = placed.repartition("run").sortWithinPartitions("run", "key", "stretch", "at", "event_id").select(
+        "key", "at", "event_id", "run"
+    )
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, recent = None, deque()
         for batch in batches:
-            change = (batch["key"] != batch["key"].shift()) | (batch["stretch"] != batch["stretch"].shift())
-            starts = [*np.flatnonzero(change.to_numpy()), len(batch)]
-            times, flags = batch["at"].to_numpy(), []
+            runs, times = batch.column("run").to_numpy(), batch.column("at").to_numpy()
+            starts = [0, *(np.flatnonzero(runs[1:] != runs[:-1]) + 1), len(runs)] if len(runs) else [0]
+            flags = []
             for start, end in zip(starts, starts[1:]):
-                group = (batch["key"].iat[start], batch["stretch"].iat[start])
-                if group != current:
-                    current, recent = group, deque()
+                if runs[start] != current:
+                    current, recent = runs[start], deque()
                 flags.append(admit(times[start:end], recent, limit, window))
-            yield batch[["key", "at", "event_id"]].assign(accepted=np.concatenate(flags) if flags else [])
+            accepted = pa.array(np.concatenate(flags) if flags else np.zeros(0, bool))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], accepted], names=["key", "at", "event_id", "accepted"])
 
     types = {field.name: field.dataType.simpleString() for field in ordered.schema.fields}
     schema = f"key {types['key']}, at bigint, event_id {types['event_id']}, accepted boolean"
-    return ordered.mapInPandas(scan, schema).select(
+    untimed = stamps.filter("at IS NULL").select("key", "at", "event_id", F.lit(False).alias("accepted"))
+    return ordered.mapInArrow(scan, schema).unionByName(untimed).select(
         F.col("key").alias(key), F.timestamp_micros("at").alias(ts), F.col("event_id").alias(event_id), "accepted"
     )

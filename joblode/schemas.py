@@ -34,17 +34,6 @@ PAYLOADS = T.StructType([
     T.StructField("src_rank", T.IntegerType()),
 ])
 
-RAW_LISTING = T.StructType([
-    *(
-        T.StructField(name, T.ArrayType(T.StringType()) if name == "tags" else T.StringType())
-        for name in RAW_FIELDS
-    ),
-    T.StructField("src_rank", T.IntegerType()),
-    T.StructField("payload_id", T.StringType()),
-    T.StructField("pos", T.LongType()),
-])
-
-
 def _job_field(name: str) -> T.StructField:
     special = {
         "skills": T.ArrayType(T.StringType()),

@@ -16,31 +16,40 @@ from joblode.operators.ratecap import admit
 def rate_cap_stream(
     events: DataFrame, key: str, ts: str, event_id: str, limit: int, window_seconds: float, lateness: str
 ) -> DataFrame:
-    """Streaming form of rate_cap(): events plus `accepted`.
-
-    The state of a key is its last `limit` admitted times; it expires a window after the last one. The
-    events of one trigger are put in time order per key; events behind the watermark are not admitted.
+    """Streaming form of rate_cap(): one row per event, with `accepted`.
+
+    The state of a key is its last `limit` admitted times and its newest event time. The events of one
+    trigger are put in time order per key. An event more than `lateness` behind the newest one of earlier
+    triggers, or without a time, comes out as not accepted. A watermark would drop such events before
+    they get here, so none is set and state does not expire: it is limit + 1 numbers for each key ever seen
+    (use the RocksDB state store where keys are many). One trigger's events of a key are in memory
+    together: bound a trigger at the source (maxFilesPerTrigger, maxOffsetsPerTrigger).
     """
     window = int(round(window_seconds * 1_000_000))
-    stamps = events.withWatermark(ts, lateness).select(
-        F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(event_id).alias("event_id")
+    behind = pd.Timedelta(lateness).value // 1000
+    stamps = events.select(
+        F.coalesce(F.col(key).cast("string"), F.lit("")).alias("name"), F.col(key).isNull().alias("nameless"),
+        F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(event_id).alias("event_id"),
     )
     types = {field.name: field.dataType.simpleString() for field in stamps.schema.fields}
-    schema = f"key {types['key']}, ts timestamp, event_id {types['event_id']}, accepted boolean"
+    schema = f"key {types['key']}, at bigint, event_id {types['event_id']}, accepted boolean"
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        times = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        recent = deque(state.get[0] if state.exists else [])
-        accepted = admit(times, recent, limit, window)
-        state.update((list(recent),))
-        expiry = (recent[-1] + window) // 1000 + 1
-        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        yield rows.assign(accepted=accepted)
-
-    return stamps.groupBy("key").applyInPandasWithState(
-        step, schema, "recent array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
-    ).select(F.col("key").alias(key), F.col("ts").alias(ts), F.col("event_id").alias(event_id), "accepted")
+        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        recent, newest = state.get if state.exists else ([], None)
+        recent = deque(recent)
+        good = rows["at"].notna().to_numpy()
+        if newest is not None:
+            good &= (rows["at"].fillna(0) >= newest - behind).to_numpy()
+        times = rows["at"].to_numpy()[good].astype("int64")
+        accepted = pd.Series(False, index=range(len(rows)))
+        accepted[good.nonzero()[0]] = admit(times, recent, limit, window)
+        if len(times):
+            newest = max(int(times[-1]), newest if newest is not None else int(times[-1]))
+        state.update((list(recent), newest))
+        out = rows[["key", "at", "event_id"]].astype({"at": "Int64"}).reset_index(drop=True)
+        yield out.assign(accepted=accepted.to_numpy())
+
+    return stamps.groupBy("name", "nameless").applyInPandasWithState(
+        step, schema, "recent array<bigint>, newest bigint", "append", GroupStateTimeout.NoTimeout
+    ).select(F.col("key").alias(key), F.timestamp_micros("at").alias(ts), F.col("event_id").alias(event_id), "accepted")
