@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +16,9 @@ from joblode.operators import dedupe, insights, match, ratecap, responses, searc
 from joblode.plans import listing_view as view
 from joblode.schemas import ORDER_COLUMNS
 from joblode.session import shared_folder
-from joblode.sources.landing import payload_table
-from joblode.sources.payloads import parse_payloads, quarantine
+from joblode.operators.ingest import ingest
+from joblode.sources.landing import payload_table, read_payloads
+from joblode.sources.payloads import checked_records, parse_payloads, quarantine
 from joblode.sources.store import JobTable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +34,7 @@ SEARCH_FILTERED = search.SearchSpec(
 SEARCH_COUNTRY = search.SearchSpec(country="TR", seniority="lead", limit=50, page=2)
 SEARCH_LOCATION = search.SearchSpec(location="europe", remote=False, limit=50)
 SEARCH_PAGE = search.SearchSpec(limit=50, page=3)
+SEARCH_INGESTED = search.SearchSpec(q="engineer", remote=True, limit=40, page=2)
 SEARCH_META = search.SearchSpec(q="java", country="a", limit=7, page=2)
 
 
@@ -137,14 +140,64 @@ def lookup_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.jobs_by_id(jobs, ids).select(*_HIT)
 
 
-def _merged_table(spark: SparkSession, sf_dir: str) -> JobTable:
-    jobs = view.jobs(spark, sf_dir)
+def _first_half(spark: SparkSession, sf_dir: str) -> JobTable:
     table = JobTable(spark, f"{shared_folder(spark)}/jobs-{uuid4().hex}")
-    table.upsert(jobs.filter("payload_id % 2 = 0"), FIRST_BATCH_AT, "even")
-    table.upsert(jobs.filter("payload_id % 2 = 1"), SECOND_BATCH_AT, "odd")
+    table.upsert(view.jobs(spark, sf_dir, "payload_id % 2 = 0"), FIRST_BATCH_AT, "even")
     return table
 
 
+def _merged_table(spark: SparkSession, sf_dir: str) -> JobTable:
+    table = _first_half(spark, sf_dir)
+    table.upsert(view.jobs(spark, sf_dir, "payload_id % 2 = 1"), SECOND_BATCH_AT, "odd")
+    return table
+
+
+def list_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored job."""
+    return search.list_jobs(_merged_table(spark, sf_dir).jobs()).select("id", "title", "company", "freshness_days")
+
+
+def stored_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insights over the stored table."""
+    jobs = _merged_table(spark, sf_dir).jobs()
+    found = {"skills": insights.top_skills(jobs, 15), "companies": insights.top_companies(jobs, 15), "locations": insights.top_locations(jobs, 15)}
+    return reduce(DataFrame.unionByName, (rows.withColumn("dimension", F.lit(name)) for name, rows in found.items()))
+
+
+def insert_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the second half that the table does not know."""
+    table = _first_half(spark, sf_dir)
+    return upsert.new_records(table.read(), view.jobs(spark, sf_dir, "payload_id % 2 = 1")).select("pos", "id")
+
+
+def ingest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way: payloads, dedupe in and across sources, normalization, a page of a search."""
+    jobs = ingest(payload_table(view.json_payloads(spark, sf_dir)), view.AS_OF)
+    return search.search_page(jobs, SEARCH_INGESTED).select(*_HIT)
+
+
+def landing_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed files of a known and an unknown source: what is read and what is left out."""
+    root = f"{shared_folder(spark)}/landing-{uuid4().hex}"
+    view.write_landing(spark, sf_dir, root)
+    return checked_records(read_payloads(spark, root)).select("src_rank", "pos", "source_job_id", "title", "reject_reason")
+
+
+def top_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locations where the raw text is missing for half of the jobs: city and country stand in."""
+    jobs = view.jobs(spark, sf_dir)
+    raw = F.when(F.col("payload_id") % 2 == 0, F.col("location_raw"))
+    return insights.top_locations(jobs.withColumn("location_raw", raw), 30, ORDER_COLUMNS)
+
+
+def feed_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed records with several locations, one of them without a name."""
+    rows = view.listing_rows(spark, sf_dir)
+    places = F.array(*(F.struct(name.alias("name")) for name in (F.col("location_raw"), F.lit(None).cast("string"), F.col("company"))))
+    record = F.try_parse_json(F.to_json(F.struct(places.alias("locations"))))
+    return rows.select(F.col("seq").alias("pos"), V.location_names_at(record, "$.locations").alias("places"))
+
+
 def upsert_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole view merged in two batches."""
     return _merged_table(spark, sf_dir).read().select(
@@ -192,13 +245,15 @@ def html_rows_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payload_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payloads made from events; some are cut off, some hold elements that are not records."""
+    """Payloads made from events; some are cut off, some have text behind the value or a bracket too many,
+    some hold elements that are not records."""
+    tail = F.element_at(F.array(*(F.lit(t) for t in ("", "]", "}", ", 5", "] and more", ', "a": 1}'))), (F.col("event_id") % 6 + 1).cast("int"))
     body = (
         F.when(F.col("event_type") == "error", F.concat(F.lit('{"jobs": ['), F.col("props")))
         .when(F.col("event_type") == "click", F.concat(F.lit('{"jobs": [5, "x", '), F.col("props"), F.lit("]}")))
-        .otherwise(F.concat(F.lit('{"jobs": [{"id": '), F.col("event_id").cast("string"), F.lit("}]}")))
+        .otherwise(F.concat(F.lit('{"jobs": [{"id": '), F.col("event_id").cast("string"), F.lit("}]}"), tail))
     )
-    rows = view.spread(view.table(spark, sf_dir, "events")).select(
+    rows = view.table(spark, sf_dir, "events").select(
         F.col("event_id").alias("payload_id"), F.lit("remotive").alias("source"), body.alias("body")
     )
     return quarantine(payload_table(rows)).select("payload_id", "pos", "reject_reason")
@@ -212,12 +267,12 @@ def event_props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = view.spread(view.table(spark, sf_dir, "pages"))
+    pages = view.table(spark, sf_dir, "pages")
     return pages.select("page_id", markup.html_text(F.col("html")).alias("text"))
 
 
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = view.spread(view.table(spark, sf_dir, "pages"))
+    pages = view.table(spark, sf_dir, "pages")
     return pages.select("page_id", markup.page_link(F.col("html"), F.col("url")).alias("link"))
 
 
@@ -231,7 +286,9 @@ def _ranked_lists(jobs: DataFrame) -> DataFrame:
 
 def ranked_list_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = view.jobs(spark, sf_dir)
-    resolved = match.resolve_ranked_lists(_ranked_lists(jobs), jobs.select("id", "title", "pos"))
+    resolved = match.resolve_ranked_lists(
+        _ranked_lists(jobs), jobs.select("id", "title", *ORDER_COLUMNS), order_columns=ORDER_COLUMNS
+    )
     return resolved.select("list_id", "rank", "match_score", "job.id", "job.title")
 
 
@@ -258,6 +315,23 @@ def candidate_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def match_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches with the job record out of the pool."""
+    found = match.match_records(candidates(spark, sf_dir), view.jobs(spark, sf_dir), order_columns=ORDER_COLUMNS)
+    return found.select("candidate_id", "rank", "match_score", "job.id", "job.title", "job.company")
+
+
+def response_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored records behind response texts that list the ids of an order, fenced, with blanks and repeats."""
+    jobs = view.jobs(spark, sf_dir).select("id", "title", *ORDER_COLUMNS)
+    quoted = F.transform("job_ids", lambda x: F.concat(F.lit('" '), x, F.lit('"')))
+    text = F.concat(F.lit("```json\n["), F.array_join(quoted, ", "), F.lit("]\n```"))
+    text = F.when(F.col("list_id") % 5 == 0, F.concat(text, F.lit("]"))).otherwise(text)
+    said = _ranked_lists(jobs).select(F.col("list_id").alias("response_id"), F.lit("match").alias("kind"), text.alias("text"))
+    found = responses.matches_from_responses(said, jobs, ORDER_COLUMNS)
+    return found.select("response_id", "rank", "match_score", "job.id", "job.title")
+
+
 def gap_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("candidate_id")
     title = (
@@ -303,6 +377,9 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 8 == 3, gap)
         .when(key % 8 == 4, F.concat(F.lit("  "), fence, F.lit("\n"), gap, fence))
         .when(key % 8 == 5, F.lit("   "))
+        .when(key % 32 == 14, F.concat(ids, F.lit("] and more")))
+        .when(key % 32 == 22, F.concat(ids, F.lit("}")))
+        .when(key % 32 == 30, F.concat(ids, F.lit(", 1")))
         .when(key % 8 == 6, F.concat(ids, F.lit(" trailing")))
         .otherwise(F.lit('{"missing_skills": ["sql", 5], "learning_priority": "low", "estimated_learning_time": "x"}'))
     )
@@ -320,7 +397,11 @@ def response_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_rate_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = view.table(spark, sf_dir, "events")
+    """Some events lack a key, some a time."""
+    events = view.table(spark, sf_dir, "events").withColumns({
+        "user_id": F.when(F.col("event_id") % 97 != 0, F.col("user_id")),
+        "ts": F.when(F.col("event_id") % 101 != 0, F.col("ts")),
+    })
     capped = ratecap.rate_cap(events, "user_id", "ts", "event_id", CAP_LIMIT, CAP_WINDOW_SECONDS)
     return capped.select("user_id", "event_id", F.col("accepted").cast("int").alias("accepted"))
 
@@ -348,9 +429,16 @@ QUERIES: dict[str, Query] = {
     "insight_count": insight_count,
     "lookup_by_ids": lookup_by_ids,
     "upsert_two_batches": upsert_two_batches,
+    "list_jobs": list_jobs,
+    "stored_insights": stored_insights,
+    "insert_branch": insert_branch,
     "schema_backfill": schema_backfill,
     "export_roundtrip": export_roundtrip,
     "json_ingest": json_ingest,
+    "ingest_search": ingest_search,
+    "landing_quarantine": landing_quarantine,
+    "top_places": top_places,
+    "feed_places": feed_places,
     "html_cards_ingest": html_cards_ingest,
     "html_rows_ingest": html_rows_ingest,
     "payload_quarantine": payload_quarantine,
@@ -358,7 +446,9 @@ QUERIES: dict[str, Query] = {
     "html_text": html_text,
     "html_links": html_links,
     "ranked_list_resolve": ranked_list_resolve,
+    "response_matches": response_matches,
     "candidate_match": candidate_match,
+    "match_records": match_records,
     "skills_gap": skills_gap,
     "missing_skills": missing_skills,
     "prompt_table": prompt_table,

@@ -19,7 +19,9 @@ TABLES = [
 
 LISTING_SQL = """
 SELECT
-  l_orderkey * 1000000000 + l_partkey * 10000 + l_suppkey * 10 + l_linenumber AS seq,
+  lpad(CAST(l_orderkey AS STRING), 15, '0') || '-' || lpad(CAST(l_partkey AS STRING), 12, '0') || '-' ||
+    lpad(CAST(l_suppkey AS STRING), 12, '0') || '-' || CAST(l_linenumber AS STRING) || '-' ||
+    CAST(CAST(l_shipdate AS DATE) AS STRING) AS seq,
   l_orderkey AS order_key,
   CASE l_linenumber % 4 WHEN 0 THEN 'arbeitnow' WHEN 1 THEN 'remotive' WHEN 2 THEN 'themuse' ELSE 'kariyer' END AS source,
   CASE WHEN l_orderkey % 9 = 0 THEN NULL
@@ -28,7 +30,8 @@ SELECT
        WHEN l_orderkey % 7 = 1 THEN 'HTTPS://Jobs.Example.com/p/' || CAST(l_partkey AS STRING) || '/#apply'
        WHEN l_orderkey % 7 = 2 THEN 'https://jobs.example.com/p/' || CAST(l_partkey AS STRING) || '/'
        ELSE 'https://jobs.example.com/p/' || CAST(l_partkey AS STRING) || '?s=' || CAST(l_suppkey AS STRING) END AS source_job_url,
-  CASE l_partkey % 6 WHEN 0 THEN 'Senior ' WHEN 1 THEN 'jr. ' WHEN 2 THEN 'LEAD ' WHEN 3 THEN 'Vice President ' WHEN 4 THEN '' ELSE 'Mid-level ' END
+  CASE l_partkey % 8 WHEN 0 THEN 'Senior ' WHEN 1 THEN 'jr. ' WHEN 2 THEN 'LEAD ' WHEN 3 THEN 'Vice President '
+         WHEN 4 THEN '' WHEN 5 THEN 'Sr.Remote ' WHEN 6 THEN 'Jr.Contract ' ELSE 'Mid-level ' END
     || CASE l_suppkey % 4 WHEN 0 THEN 'python API engineer' WHEN 1 THEN 'Data Engineer' WHEN 2 THEN 'Yazılım Geliştirici' ELSE 'QA of Java systems' END
     || CASE l_linenumber % 3 WHEN 0 THEN ' (Remote, Full-time)' WHEN 1 THEN ' | Contract' ELSE '' END AS title,
   s_name AS company,
@@ -56,17 +59,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Use every core on an input with fewer file splits than cores; larger inputs stay unshuffled."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def listing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bare view, columns as in LISTING_SQL."""
+    """The bare view, columns as in LISTING_SQL.
+
+    Five narrow columns are dealt out evenly first: what follows costs some hundred times as much for a
+    row as this shuffle, so it must not depend on how the files happen to be cut.
+    """
     register(spark, sf_dir, ["part", "supplier", "nation", "region"])
     columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"]
-    spread(table(spark, sf_dir, "lineitem").select(*columns)).createOrReplaceTempView("lineitem")
+    table(spark, sf_dir, "lineitem").select(*columns).hint("rebalance").createOrReplaceTempView("lineitem")
     return spark.sql(LISTING_SQL)
 
 
@@ -100,9 +101,9 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The view as normalized job records."""
-    return normalize_listings(raw_listings(spark, sf_dir), AS_OF)
+def jobs(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
+    """The view as normalized job records; where: a test on columns of the listings."""
+    return normalize_listings(raw_listings(spark, sf_dir), AS_OF, where=where)
 
 
 def _documents(rows: DataFrame, element: Column) -> DataFrame:
@@ -164,6 +165,25 @@ def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_landing(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Events as landed files: a thousand neighbouring ones each, for a known and an unknown source.
+
+    Every seventh element is no record, every fifth file is cut off.
+    """
+    col = F.col
+    events = table(spark, sf_dir, "events").withColumn("part", F.floor(col("event_id") / 1000))
+    element = F.when(col("event_id") % 7 == 0, F.lit("5")).otherwise(
+        F.to_json(F.struct(col("event_id").alias("id"), col("event_type").alias("title")))
+    )
+    source = F.when(col("event_id") % 2 == 0, "remotive").otherwise("newcomer")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("event_id", element.alias("element")))), lambda x: x.element)
+    files = events.groupBy(source.alias("source"), "part").agg(ordered.alias("elements"))
+    listed = F.concat(F.lit("["), F.array_join("elements", ", "), F.lit("]"))
+    body = F.when(col("part") % 5 == 4, F.rtrim(listed, F.lit("]"))).otherwise(listed)
+    lines = files.select("source", body.alias("value"))
+    lines.write.partitionBy("source").option("maxRecordsPerFile", 1).text(root)
+
+
 def card_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole view as HTML card documents."""
     card = F.concat(

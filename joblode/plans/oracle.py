@@ -61,7 +61,6 @@ def _title_word(word: str, index: str) -> str:
 
 
 _BRACKET = rf"[(\[{{][^)\]}}]*\b({'|'.join(lexicon.TITLE_BRACKET_WORDS)})\b[^)\]}}]*[)\]}}]"
-_NOISE = rf"\b({'|'.join(lexicon.TITLE_NOISE_WORDS)})\b"
 
 
 def _replace(column: str, pattern: str) -> str:
@@ -72,7 +71,8 @@ def _core(column: str) -> str:
     core = _replace(column, _BRACKET)
     core = _replace(core, r"\s*\|\s*")
     core = _replace(core, r"\s[-/]\s")
-    core = _replace(core, _NOISE)
+    for word in lexicon.TITLE_NOISE_WORDS:
+        core = _replace(core, rf"\b({word})\b")
     core = _replace(core, r"[()\[\]{},;:]+")
     return f"trim({_replace(core, r'\s+')}, ' -_/')"
 
@@ -162,13 +162,14 @@ def _canonical(column: str) -> str:
     )
 
 
-def _top(named: str, limit: int) -> str:
+def _counted(named: str, limit: int, extra: str = "") -> str:
     """`named` selects name, ord (place of the row in stored order) and place."""
-    return _jobs(f"""
-, placed AS (SELECT *, row_number() OVER (ORDER BY {_STORED_ORDER}) AS ord FROM dated),
-named AS ({named}),
-counted AS (SELECT name, count(*) AS n, min(ord * 1000 + place) AS met FROM named WHERE name IS NOT NULL GROUP BY name)
-SELECT name, n AS "count" FROM counted ORDER BY n DESC, met LIMIT {limit}""")
+    return f"""(SELECT name, count(*) AS "count"{extra} FROM ({named}) WHERE name IS NOT NULL
+  GROUP BY name ORDER BY count(*) DESC, min(ord * 1000 + place) LIMIT {limit})"""
+
+
+def _top(named: str, limit: int) -> str:
+    return _jobs(f", placed AS (SELECT *, row_number() OVER (ORDER BY {_STORED_ORDER}) AS ord FROM dated) {_counted(named, limit)}")
 
 
 def _search(where: str, offset: int, limit: int = 50) -> str:
@@ -179,13 +180,19 @@ def _in_batch(batch: str, value: str) -> str:
     return f"CASE WHEN {batch} = 0 THEN '2026-03-22 09:00:00' ELSE '2026-03-23 11:30:00' END AS {value}"
 
 
-_UPSERT = _jobs(f"""
+_MERGED = f"""
 , arrived AS (SELECT *, coalesce('url ' || source_job_url, 'id ' || id) AS ident,
     row_number() OVER (ORDER BY order_key % 2, {_ARRIVAL}) AS arrival, order_key % 2 AS batch FROM dated),
 merged AS (SELECT arg_min(id, arrival) AS id, arg_max(source, arrival) AS source,
     arg_max(source_job_id, arrival) AS source_job_id, max(source_job_url) AS source_job_url,
-    arg_max(title, arrival) AS title, arg_max({_SKILLS}, arrival) AS skills, min(batch) AS born, max(batch) AS seen
-  FROM arrived GROUP BY ident)
+    arg_max(title, arrival) AS title, arg_max({_SKILLS}, arrival) AS skills, min(batch) AS born, max(batch) AS seen,
+    arg_max(company, arrival) AS company, arg_max(location_raw, arrival) AS location_raw, arg_max(skills, arrival) AS skill_list,
+    arg_max(coalesce(freshness_days, -1), arrival) AS age, min(arrival) AS first_arrival
+  FROM arrived GROUP BY ident),
+kept AS (SELECT *, nullif(age, -1) AS freshness_days,
+    row_number() OVER (ORDER BY nullif(age, -1) ASC NULLS LAST, title ASC NULLS FIRST, first_arrival) AS ord FROM merged)"""
+
+_UPSERT = _jobs(f"""{_MERGED}
 SELECT id, source, source_job_id, source_job_url, title, skills,
   {_in_batch('born', 'created_at')}, {_in_batch('seen', 'updated_at')}, {_in_batch('seen', 'last_seen_at')}
 FROM merged""")
@@ -230,6 +237,33 @@ SELECT source, CAST(seq AS VARCHAR) AS source_job_id,
   CAST(NULL AS VARCHAR) AS remote_type_raw, array_to_string(tags, ',') AS tags
 FROM raw"""
 
+_INGESTED = f"""WITH {LISTINGS},
+fed AS (
+  SELECT * REPLACE (
+    CASE WHEN source = 'kariyer' THEN {_text(lexicon.DEFAULT_SOURCE)} ELSE source END AS source,
+    CASE WHEN source = 'kariyer' THEN source_job_id ELSE coalesce(source_job_id, source_job_url) END AS source_job_id,
+    CASE WHEN source <> 'kariyer' THEN employment_type_raw END AS employment_type_raw,
+    CASE source WHEN 'arbeitnow' THEN CASE WHEN location_raw = 'Remote' THEN 'remote' ELSE 'onsite' END
+      WHEN 'themuse' THEN CASE WHEN location_raw = 'Remote' THEN 'remote' END ELSE 'remote' END AS remote_type_raw,
+    CASE WHEN source = 'themuse' THEN [] ELSE tags END AS tags, order_key // 8 AS order_key,
+    row_number() OVER (PARTITION BY src_rank, order_key // 8 ORDER BY seq) - 1 AS pos) FROM raw),
+once AS (SELECT *, {_canonical('source_job_url')} AS place FROM fed QUALIFY row_number() OVER (PARTITION BY src_rank, order_key,
+    coalesce(source_job_id, source_job_url, company || '::' || title) ORDER BY pos) = 1),
+found AS (SELECT * FROM once QUALIFY place IS NULL OR row_number() OVER (PARTITION BY place ORDER BY src_rank, order_key, pos) = 1),
+{JOBS.removeprefix(LISTINGS).lstrip(chr(44)).strip().replace('FROM raw', 'FROM found').replace('raw.*', 'found.*')}"""
+
+_LANDED = """WITH e AS (SELECT *, event_id // 1000 AS part, event_id % 2 AS odd FROM events),
+placed AS (SELECT *, row_number() OVER (PARTITION BY odd, part ORDER BY event_id) - 1 AS pos FROM e),
+ranks AS (SELECT 0 AS odd, {known} AS src_rank UNION ALL SELECT 1, {unknown})
+SELECT src_rank, pos, CASE WHEN event_id % 7 > 0 THEN CAST(event_id AS VARCHAR) END AS source_job_id,
+  CASE WHEN event_id % 7 > 0 AND odd = 0 THEN event_type END AS title,
+  CASE WHEN event_id % 7 = 0 THEN 'record_not_object' END AS reject_reason
+FROM placed JOIN ranks USING (odd) WHERE part % 5 <> 4
+UNION ALL SELECT src_rank, NULL, NULL, NULL, 'payload_not_json' FROM (SELECT DISTINCT odd, part FROM e) JOIN ranks USING (odd)
+WHERE part % 5 = 4""".format(
+    known=[name for name, _, _ in lexicon.SOURCES].index("remotive"), unknown=len(lexicon.SOURCES)
+)
+
 _VISIBLE = (
     r"regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), "
     r"'(?is)<(script|style)\b.*?</(script|style)\s*>', ' ', 'g'), '(?s)<[a-zA-Z/!][^>]*>', ' ', 'g')"
@@ -252,7 +286,7 @@ _CANDIDATES = """candidates AS (
     CASE c_custkey % 3 WHEN 0 THEN 'python api engineer' WHEN 1 THEN 'data engineer' ELSE 'astronaut' END AS target
   FROM customer)"""
 
-_MATCH = _jobs(f"""
+_MATCHED = f"""
 , pool AS (SELECT *, row_number() OVER (ORDER BY {_STORED_ORDER}) AS place FROM dated QUALIFY place <= 100),
 {_CANDIDATES},
 offers AS (SELECT candidate_id, wish, remote_wish, unnest(known) AS skill FROM candidates),
@@ -262,10 +296,16 @@ pairs AS (SELECT candidate_id, place, id, count(*) AS shared_skills,
     max(coalesce(CAST(contains(lower(location_raw), wish) AS INTEGER), 0)) AS place_fit
   FROM offers JOIN wanted USING (skill) GROUP BY candidate_id, place, id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY candidate_id
-    ORDER BY shared_skills DESC, remote_fit DESC, place_fit DESC, place) - 1 AS r FROM pairs)
+    ORDER BY shared_skills DESC, remote_fit DESC, place_fit DESC, place) - 1 AS r FROM pairs)"""
+
+_MATCH = _jobs(f"""{_MATCHED}
 SELECT candidate_id, CAST(r AS INTEGER) AS "rank", CAST(greatest(100 - 10 * r, 10) AS INTEGER) AS match_score,
   id AS job_id, shared_skills FROM ranked WHERE r < 5""")
 
+_MATCH_RECORDS = _jobs(f"""{_MATCHED}
+SELECT candidate_id, CAST(r AS INTEGER) AS "rank", CAST(greatest(100 - 10 * r, 10) AS INTEGER) AS match_score,
+  id, title, company FROM ranked JOIN pool USING (id, place) WHERE r < 5""")
+
 _GAP = f"""
 , {_CANDIDATES},
 demand AS (SELECT lower(normalized_title) AS target, skill, count(*) AS jobs
@@ -277,9 +317,10 @@ _RANKED = _jobs(f"""
 , lists AS (SELECT order_key AS list_id, list(id ORDER BY pos) AS ids FROM dated GROUP BY order_key),
 listed AS (SELECT list_id, unnest(ids) AS id, unnest(range(len(ids))) AS spot FROM lists),
 firsts AS (SELECT list_id, id, min(spot) AS spot FROM listed GROUP BY list_id, id),
-ranked AS (SELECT list_id, id, row_number() OVER (PARTITION BY list_id ORDER BY spot) - 1 AS r FROM firsts)
+ranked AS (SELECT list_id, id, row_number() OVER (PARTITION BY list_id ORDER BY spot) - 1 AS r FROM firsts),
+named AS (SELECT id, title FROM dated QUALIFY row_number() OVER (PARTITION BY id ORDER BY src_rank DESC, order_key DESC, pos DESC) = 1)
 SELECT list_id, CAST(r AS INTEGER) AS "rank", CAST(greatest(100 - 10 * r, 10) AS INTEGER) AS match_score, id, title
-FROM ranked JOIN dated USING (id) WHERE r < 5""")
+FROM ranked JOIN named USING (id) WHERE r < 5""")
 
 _RESPONSES = """WITH made AS (
   SELECT o_orderkey AS response_id, o_orderkey % 8 AS form,
@@ -294,9 +335,12 @@ SELECT response_id, kind,
   CASE WHEN error_code IS NULL AND kind = 'gap' THEN 'high' END AS learning_priority, error_code
 FROM judged"""
 
-_RATE_CAP = """WITH RECURSIVE ordered AS (
-  SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
-  FROM events),
+_RATE_CAP = """WITH RECURSIVE seen AS (
+  SELECT event_id, CASE WHEN event_id % 97 <> 0 THEN user_id ELSE -1 END AS user_id,
+    CASE WHEN event_id % 101 <> 0 THEN epoch_us(ts) END AS us FROM events),
+ordered AS (
+  SELECT user_id, event_id, us, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n
+  FROM seen WHERE us IS NOT NULL),
 walk AS (
   SELECT user_id, event_id, n, 1 AS accepted, us AS newest, CAST(NULL AS BIGINT) AS older FROM ordered WHERE n = 1
   UNION ALL
@@ -305,7 +349,8 @@ walk AS (
     CASE WHEN w.older IS NULL OR w.older <= o.us - 21600000000 THEN o.us ELSE w.newest END,
     CASE WHEN w.older IS NULL OR w.older <= o.us - 21600000000 THEN w.newest ELSE w.older END
   FROM walk w JOIN ordered o ON o.user_id = w.user_id AND o.n = w.n + 1)
-SELECT user_id, event_id, accepted FROM walk"""
+SELECT nullif(user_id, -1) AS user_id, event_id, accepted FROM walk
+UNION ALL SELECT nullif(user_id, -1), event_id, 0 FROM seen WHERE us IS NULL"""
 
 _PROFILES = """profiles AS (
   SELECT c_custkey AS candidate_id, c_custkey % 12 AS years,
@@ -343,7 +388,8 @@ _QUARANTINE = """
 SELECT event_id AS payload_id, CAST(NULL AS BIGINT) AS pos, 'payload_not_json' AS reject_reason FROM events WHERE event_type = 'error'
 UNION ALL SELECT event_id, 0, 'record_not_object' FROM events WHERE event_type = 'click'
 UNION ALL SELECT event_id, 1, 'record_not_object' FROM events WHERE event_type = 'click'
-UNION ALL SELECT event_id, 2, 'no_usable_content' FROM events WHERE event_type = 'click'"""
+UNION ALL SELECT event_id, 2, 'no_usable_content' FROM events WHERE event_type = 'click'
+UNION ALL SELECT event_id, NULL, 'payload_not_json' FROM events WHERE event_type NOT IN ('error', 'click') AND event_id % 6 > 0"""
 
 ORACLE: dict[str, str] = {
     "norm_text_fields": _jobs(
@@ -398,7 +444,27 @@ QUALIFY row_number() OVER (PARTITION BY {_canonical('url')} ORDER BY page_id) =
         ) + " FROM dated"
     ),
     "export_roundtrip": _jobs(f"SELECT id, {_SKILLS} AS skills, {_stamp('posted_at')} AS posted_at FROM dated"),
+    "list_jobs": _jobs(f"{_MERGED} SELECT id, title, company, freshness_days FROM kept"),
+    "stored_insights": _jobs(_MERGED + " " + " UNION ALL ".join(
+        _counted(named, 15, f", '{name}' AS dimension") for name, named in {
+            "skills": "SELECT unnest(skill_list) AS name, ord, unnest(range(len(skill_list))) AS place FROM kept",
+            "companies": "SELECT company AS name, ord, 0 AS place FROM kept",
+            "locations": "SELECT location_raw AS name, ord, 0 AS place FROM kept",
+        }.items()
+    )),
+    "insert_branch": _jobs(
+        "SELECT pos, id FROM dated WHERE order_key % 2 = 1 AND id NOT IN (SELECT id FROM dated WHERE order_key % 2 = 0) AND "
+        "NOT EXISTS (FROM jobs o WHERE o.order_key % 2 = 0 AND o.source_job_url = dated.source_job_url)"
+    ),
     "json_ingest": _JSON,
+    "ingest_search": f"""{_INGESTED} SELECT {_HIT} FROM dated WHERE contains({_QUERY_TEXT}, 'engineer')
+AND remote_type IN ('remote', 'hybrid') ORDER BY {_SEARCH_ORDER} LIMIT 40 OFFSET 40""",
+    "landing_quarantine": _LANDED,
+    "top_places": _top(
+        "SELECT coalesce(CASE WHEN order_key % 2 = 0 THEN location_raw END, "
+        "nullif(concat_ws(', ', location_city, location_country), '')) AS name, ord, 0 AS place FROM placed", 30
+    ),
+    "feed_places": f"WITH {LISTINGS} SELECT pos, location_raw || ', ' || company AS places FROM raw",
     "html_cards_ingest": _CARDS,
     "html_rows_ingest": _ROWS,
     "payload_quarantine": _QUARANTINE,
@@ -409,7 +475,11 @@ QUALIFY row_number() OVER (PARTITION BY {_canonical('url')} ORDER BY page_id) =
     "html_text": f"SELECT page_id, {_PAGE_TEXT} AS text FROM pages",
     "html_links": f"SELECT page_id, {_PAGE_LINK} AS link FROM pages",
     "ranked_list_resolve": _RANKED,
+    "response_matches": _RANKED.replace('SELECT list_id, CAST', 'SELECT list_id AS response_id, CAST').replace(
+        "WHERE r < 5", "WHERE r < 5 AND list_id % 5 > 0"
+    ),
     "candidate_match": _MATCH,
+    "match_records": _MATCH_RECORDS,
     "skills_gap": _jobs(_GAP + " SELECT request_id, skill, jobs FROM gap"),
     "missing_skills": _jobs(
         _GAP + " SELECT request_id, string_agg(skill, ',' ORDER BY jobs DESC, skill) AS missing_skills FROM gap GROUP BY request_id"
