@@ -9,14 +9,13 @@ duckdb = pytest.importorskip("duckdb")
 
 import __spark_entry__ as driver  # noqa: E402
 from joblode.plans.listing_view import TABLES  # noqa: E402
+from joblode.plans.oracle import ORACLE  # noqa: E402
 from joblode.session import shared_folder  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="driver tables not present")
 
-# The smallest tables hold two lines with the same place in the order; these three depend on it.
-TIED = {"json_ingest", "html_cards_ingest", "html_rows_ingest"}
-QUERIES, ORACLE = driver.queries(), driver.oracle_sql()
+QUERIES = driver.queries()
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +27,7 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLE) - TIED))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, duck, name):
     frame = QUERIES[name](spark, SF_DIR)
     cursor = duck.execute(ORACLE[name])
@@ -58,4 +57,4 @@ def test_insights_read_only_what_they_need(spark):
 
 
 def test_shared_folder_follows_the_session(spark):
-    assert shared_folder(spark) == shared_folder(spark)
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")

@@ -46,9 +46,11 @@ def test_language_and_snippet(spark):
 
 
 TITLES = {
-    "Senior API Platform Engineer (Remote, Full-time)": "API Platform Engineer",
+    "junior SRE for ML {worldwide, temp} / nights": "SRE for ML Nights",
     "sr. eng": ". Eng",
-    "Backend Engineer | Contract": "Backend Engineer",
+    "Sr.Remote Engineer": ". Engineer",
+    "Jr.Contract Developer": ". Developer",
+    "Tram Driver | Full time": "Tram Driver",
     "Lead - Data / ML Engineer": "Data ML Engineer",
     "Remote": "Remote",
     "HEAD OF QA": "Head of QA",

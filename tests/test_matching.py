@@ -31,12 +31,22 @@ def test_ranked_lists(spark, jobs):
         [("a", ["j1", "j2", "j2", "missing"]), ("b", ["x"]), ("c", ["j4", "j3", "j2", "j1", "j4"]), ("d", [])],
         "list_id string, job_ids array<string>",
     )
-    rows = match.resolve_ranked_lists(lists, jobs).orderBy("list_id", "rank").collect()
+    rows = match.resolve_ranked_lists(lists, jobs, order_columns=["pos"]).orderBy("list_id", "rank").collect()
     assert [(r.list_id, r.job.id, r.match_score) for r in rows] == [
         ("a", "j1", 100), ("a", "j2", 90), ("c", "j4", 100), ("c", "j3", 90), ("c", "j2", 80), ("c", "j1", 70),
     ]
-    short = match.unique_valid_ids(lists, jobs, limit=1).collect()
-    assert sorted((r.list_id, r.id) for r in short) == [("a", "j1"), ("c", "j4")]
+    short = match.resolve_ranked_lists(lists, jobs, 1, ["pos"]).collect()
+    assert sorted((r.list_id, r.job.id) for r in short) == [("a", "j1"), ("c", "j4")]
+
+
+def test_an_id_stands_for_its_last_record(spark, jobs):
+    twice = jobs.unionByName(jobs.withColumn("title", F.concat(F.lit("again "), "title")).withColumn("pos", F.col("pos") + 10))
+    lists = spark.createDataFrame([("c", ["j4", "j3", "j2", "j1", "j4"])], "list_id string, job_ids array<string>")
+    rows = match.resolve_ranked_lists(lists, twice, order_columns=["pos"]).orderBy("rank").collect()
+    assert [(r.rank, r.job.title) for r in rows] == [(0, "again Old"), (1, "again Ops"), (2, "again Data Dev"), (3, "again Python Dev")]
+    for pool, limit in [(0, 5), (10**6, 5), (5, 0)]:
+        with pytest.raises(ValueError):
+            match.check_bounds(pool, limit)
 
 
 def test_scores_stop_at_ten(spark):
@@ -56,7 +66,8 @@ def test_match_candidates(spark, jobs):
     ]
     limited = match.match_candidates(people, jobs, pool=1, order_columns=["pos"]).collect()
     assert {r.job_id for r in limited} == {"j1"}
-    assert match.with_matched_jobs(got, jobs).filter("job.id = 'j4'").first().match_score == 90
+    records = match.match_records(people, jobs, order_columns=["pos"]).filter("job.id = 'j4'").collect()
+    assert [(r.match_score, r.job.company) for r in records] == [(90, "D")]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
     bad = match.check_candidates(people).filter("reject_reason IS NOT NULL").collect()

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from joblode.operators import insights, upsert
 from joblode.schemas import JOB, JOB_FIELDS, STORED_JOB
-from joblode.sources.store import JobTable
+from joblode.sources.store import ConflictingIds, JobTable
 
 T1 = datetime(2026, 3, 22, 9, 0, tzinfo=timezone.utc)
 T2 = datetime(2026, 3, 23, 11, 30, tzinfo=timezone.utc)
@@ -99,11 +99,34 @@ def test_merge_equals_one_record_after_the_other(spark, jobs, tmp_path):
     assert got == {i: (r["title"], r["source_job_url"], naive(r["born"]), naive(r["seen"])) for i, r in plain.items()}
 
 
-def test_conflicting_ids_are_named(spark, jobs):
+def test_a_batch_with_two_urls_for_an_id_is_refused(spark, jobs, tmp_path):
     stored = upsert.upgrade(jobs({"id": "a", "source_job_url": "u1"}, {"id": "b"}), T1)
     batch = jobs({"id": "a", "source_job_url": "u2"}, {"id": "b"}, {"id": "c", "source_job_url": "x"})
-    assert [r.id for r in upsert.conflicting_ids(stored, batch).collect()] == ["a"]
     assert sorted(r.id for r in upsert.new_records(stored, batch).collect()) == ["c"]
+    table = JobTable(spark, str(tmp_path))
+    with pytest.raises(ConflictingIds, match="'a'"):
+        table.upsert(jobs({"id": "a", "source_job_url": "u1"}, {"id": "a", "source_job_url": "u2"}), T1)
+    assert table.read().count() == 0
+
+
+def test_untouched_buckets_keep_their_folders(spark, jobs, tmp_path):
+    table = JobTable(spark, str(tmp_path), buckets=8)
+    table.upsert(jobs(*({"id": f"j{i}", "source_job_url": f"u{i}"} for i in range(40))), T1)
+    before = table.commits().first().folders
+    table.upsert(jobs({"id": "j3", "source_job_url": "u3", "title": "Changed"}), T2)
+    after = table.commits().orderBy(F.col("version").desc()).first().folders
+    assert before.keys() == after.keys() and sum(before[b] != after[b] for b in before) == 1
+    rows = by_id(table)
+    assert len(rows) == 40 and rows["j3"].title == "Changed" and rows["j4"].updated_at == naive(T1)
+    assert table.vacuum(keep=1) == 1 and len(by_id(table)) == 40
+    assert not (tmp_path / "staging").exists()
+
+
+def test_the_stored_ids_are_reduced_before_they_move(spark, jobs, tmp_path):
+    table = JobTable(spark, str(tmp_path))
+    table.upsert(jobs(*({"id": f"j{i}"} for i in range(50))), T1)
+    plan = upsert.resolve(table.read(), jobs({"id": "j3"}))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 2
 
 
 def test_replayed_batch_changes_nothing(spark, jobs, tmp_path):
@@ -117,7 +140,7 @@ def test_replayed_batch_changes_nothing(spark, jobs, tmp_path):
 def test_unfinished_snapshot_is_invisible(spark, jobs, tmp_path):
     table = JobTable(spark, str(tmp_path))
     table.upsert(jobs({"id": "a"}), T1)
-    upsert.upgrade(jobs({"id": "zzz"}), T1).write.parquet(str(tmp_path / "snapshots" / "2-dead"))
+    upsert.upgrade(jobs({"id": "zzz"}), T1).write.parquet(str(tmp_path / "data" / "2-dead" / "bucket=0"))
     assert list(by_id(table)) == ["a"]
 
 
@@ -145,17 +168,18 @@ def test_export_roundtrip(jobs):
 @pytest.mark.parametrize("partitions", [1, 7, 50])
 def test_insights(jobs, partitions):
     frame = jobs(
-        {"id": "1", "company": "Acme", "location_raw": "Berlin, Germany", "skills": ["python", "fastapi"], "freshness_days": 1},
-        {"id": "2", "company": "Acme", "location_raw": None, "location_city": "Berlin", "location_country": "Germany",
-         "skills": ["python", "docker"], "freshness_days": 0},
-        {"id": "3", "company": "Orbit", "location_raw": "London", "skills": ["react", "go", "go"], "freshness_days": None},
-        {"id": "4", "company": "", "location_raw": "", "skills": [], "freshness_days": 0},
+        {"id": "1", "company": "Mill", "location_raw": "Riga", "skills": ["rust", "perl"], "freshness_days": 4},
+        {"id": "2", "company": "Forge", "location_raw": "", "location_city": "Oulu", "location_country": "Finland", "skills": ["perl", "c"], "freshness_days": 2},
+        {"id": "3", "company": "Mill", "location_raw": "Oulu, Finland", "skills": ["c", "perl", "c"], "freshness_days": 9},
+        {"id": "4", "company": "", "location_raw": None, "skills": None, "freshness_days": 0},
+        {"id": "5", "company": "Forge", "location_raw": "Riga", "skills": ["zig"], "freshness_days": None},
+        {"id": "6", "company": "Mill", "location_raw": "Oulu, Finland", "skills": [], "freshness_days": 2},
     ).repartition(partitions)
     order = ["pos"]
     pairs = lambda f: [(r.name, r["count"]) for r in f.collect()]
-    assert pairs(insights.top_skills(frame, 5, order)) == [("python", 2), ("go", 2), ("docker", 1), ("fastapi", 1), ("react", 1)]
-    assert pairs(insights.top_companies(frame, 5, order)) == [("Acme", 2), ("Orbit", 1)]
-    assert pairs(insights.top_locations(frame, 1, order)) == [("Berlin, Germany", 2)]
+    assert pairs(insights.top_skills(frame, 5, order)) == [("perl", 3), ("c", 3), ("rust", 1), ("zig", 1)]
+    assert pairs(insights.top_companies(frame, 5, order)) == [("Mill", 3), ("Forge", 2)]
+    assert pairs(insights.top_locations(frame, 5, order)) == [("Oulu, Finland", 3), ("Riga", 2)]
     assert tuple(insights.insight_report(insights.top_skills(frame, 2, order), "skills").first()) == ("skills", 2)
 
 

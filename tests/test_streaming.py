@@ -39,10 +39,24 @@ def test_continuous_ingest(spark, tmp_path):
     assert table.commits().count() == 2
 
 
+def test_a_second_checkpoint_does_not_hide_its_data(spark, tmp_path):
+    table = JobTable(spark, str(tmp_path / "table"))
+    for place in ("one", "two"):
+        land(tmp_path / place, place, f"https://x.test/{place}", place)
+        (tmp_path / place / "source=village").mkdir()
+        (tmp_path / place / "source=village" / "bad.json").write_text("[1]")
+        query = start_ingest(spark, str(tmp_path / place), table, str(tmp_path / f"checkpoint-{place}"), clock=lambda: NOW, available_now=True)
+        query.awaitTermination(120)
+        assert query.exception() is None
+    assert sorted(r.title for r in table.read().collect()) == ["one", "two"]
+    assert [r.reject_reason for r in table.rejected().collect()] == ["record_not_object"] * 2
+
+
 def test_streaming_cap_carries_state_between_triggers(spark, tmp_path):
     source = tmp_path / "events"
     start = datetime(2026, 1, 1)
-    batches = [[(1, 0, 1), (1, 0, 2), (1, 30, 3), (2, 5, 4)], [(1, 60, 5), (1, 61, 6), (1, 62, 7), (2, 64, 8), (2, 65, 9)]]
+    batches = [[(1, 0, 1), (1, 0, 2), (1, 30, 3), (2, 5, 4)], [(1, 60, 5), (1, 61, 6), (1, 62, 7), (2, 64, 8), (2, 65, 9)],
+               [(1, -900, 10), (1, None, 11), (None, 5, 12), (1, 500, 13)]]
     schema = "k int, ts timestamp, e int"
     got = {}
 
@@ -50,7 +64,7 @@ def test_streaming_cap_carries_state_between_triggers(spark, tmp_path):
         got.update({r.e: r.accepted for r in frame.collect()})
 
     for batch in batches:
-        rows = [(k, start + timedelta(seconds=s), e) for k, s, e in batch]
+        rows = [(k, None if s is None else start + timedelta(seconds=s), e) for k, s, e in batch]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema(schema).parquet(str(source))
         capped = rate_cap_stream(stream, "k", "ts", "e", 2, 60, "10 minutes")
@@ -60,4 +74,4 @@ def test_streaming_cap_carries_state_between_triggers(spark, tmp_path):
         )
         query.awaitTermination(120)
         assert query.exception() is None
-    assert got == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True, 7: False, 8: True, 9: True}
+    assert got == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True, 7: False, 8: True, 9: True, 10: False, 11: False, 12: True, 13: True}
