@@ -121,7 +121,7 @@ def test_response_cleaning(spark, jobs):
     assert (rows["m1"].job_ids, rows["m2"].job_ids) == (["j1", "j2"], ["j1"])
     assert rows["g2"].analysis.asDict() == {**GAP, "recommended_resources": ["r"]}
     assert (rows["g6"].analysis.missing_skills, rows["g1"].analysis.recommended_resources) == ([], [])
-    matched = responses.matches_from_responses(table, jobs).orderBy("response_id", "rank").collect()
+    matched = responses.matches_from_responses(table, jobs, ["pos"]).orderBy("response_id", "rank").collect()
     assert [(r.response_id, r.job.id, r.match_score) for r in matched] == [("m1", "j1", 100), ("m1", "j2", 90), ("m2", "j1", 100)]
 
 
