@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from joblode.llm.common import attach, staged
 
 BLOCK = 256
-SHARD_ROWS = 4096
+SHARD_ROWS = 2048
 
 #: Called once for the rows of a task; gives a function (rows a, rows b, open pairs) -> linked pairs.
 Judge = Callable[[pd.DataFrame], Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]]
@@ -49,11 +49,13 @@ def links(items: DataFrame, payload: DataFrame, judge: Judge) -> DataFrame:
 
 
 def candidates(items: DataFrame) -> DataFrame:
-    """Ids of items that share a bucket with another one."""
+    """Ids of items that share a bucket with another one.
+
+    Both sides of the semi-join are dealt out by the join itself, so adaptive execution splits a hot bucket.
+    """
     members = items.select("id", F.posexplode("hashes").alias("t", "h")).select("id", F.xxhash64("t", "h").alias("bucket"))
-    pairs = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    total = members.count()
-    return attach(members, staged(pairs, "buckets"), "bucket", "size", total).select("id").distinct()
+    shared = staged(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket"), "buckets")
+    return members.join(shared, "bucket", "left_semi").select("id").distinct()
 
 
 def _units(frame: pd.DataFrame) -> Iterator[np.ndarray]:

@@ -34,6 +34,7 @@ from joblode.llm.common import attach, components, fresh, quoted, staged, with_c
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
+SIGN_CHARS = 2_000_000
 REGISTERS = BANDS * ROWS
 _G = np.uint64(0x9E3779B97F4A7C15)
 
@@ -162,7 +163,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in by_size(batch, "text"):
+            for part, texts in by_size(batch, "text", SIGN_CHARS):
                 keys, owner, element, weight = shingles(texts, width)
                 found = signatures(len(texts), owner, element, weight).view(np.uint64)
                 bands = np.zeros((len(texts), BANDS), np.uint64)
