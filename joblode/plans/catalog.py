@@ -349,8 +349,8 @@ def skills_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gap = match.skills_gap(gap_requests(spark, sf_dir), view.jobs(spark, sf_dir))
-    return match.missing_skills(gap).select("request_id", joined(F.col("missing_skills")).alias("missing_skills"))
+    lists = match.missing_skills(gap_requests(spark, sf_dir), view.jobs(spark, sf_dir))
+    return lists.select("request_id", joined(F.col("missing_skills")).alias("missing_skills"))
 
 
 def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:

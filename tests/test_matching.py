@@ -81,7 +81,7 @@ def test_skills_gap(spark, jobs):
     )
     gap = match.skills_gap(requests, jobs)
     assert sorted((r.request_id, r.skill, r.jobs) for r in gap.collect()) == [(1, "docker", 1), (1, "python", 2)]
-    assert [(r.request_id, r.missing_skills) for r in match.missing_skills(gap).collect()] == [(1, ["python", "docker"])]
+    assert [(r.request_id, r.missing_skills) for r in match.missing_skills(requests, jobs).collect()] == [(1, ["python", "docker"])]
 
 
 def test_prompts(spark, jobs):
