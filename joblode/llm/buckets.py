@@ -32,7 +32,12 @@ def links(items: DataFrame, payload: DataFrame, judge: Judge) -> DataFrame:
     members = items.select("id", F.posexplode("hashes").alias("t", "h")).select(
         "id", "t", F.xxhash64("t", "h").alias("bucket")
     )
-    sizes = staged(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    # near copies meet in many tables: of buckets with the same members the first is enough, and it is the
+    # one where its pairs are judged
+    marks = (F.bit_xor(F.xxhash64("id")).alias("mark"), F.bit_xor(F.xxhash64("id", F.lit("again"))).alias("mark2"))
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("t").alias("t"), *marks).where("size > 1")
+    distinct = buckets.groupBy("size", "mark", "mark2").agg(F.min_by("bucket", F.struct("t", "bucket")).alias("bucket"))
+    sizes = staged(distinct.select("bucket", "size"), "buckets")
     blocks = F.ceil(F.col("size") / BLOCK)
     work, total = sizes.agg(F.sum(F.col("size") * blocks), F.sum("size")).first()
     if not work:

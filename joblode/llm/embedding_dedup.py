@@ -109,7 +109,7 @@ def find_near(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id
     groups = good.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
     items = staged(
         good.join(groups.select(F.col("id").alias("vec_id"), "key", "n"), ["vec_id", "key"])
-        .dropDuplicates(["key"]).select(F.col("vec_id").alias("id"), "key", "n", "unit", "hashes"),
+        .dropDuplicates(["vec_id", "key"]).select(F.col("vec_id").alias("id"), "key", "n", "unit", "hashes"),
         "items",
     )
     found = staged(links(items, items.select("id", "unit"), _judge(threshold)), "links")

@@ -181,7 +181,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     groups = staged(
         signed.where("id is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n")), "groups"
     )
-    items = staged(signed.join(groups, ["id", "key"]).dropDuplicates(["key"]), "items")
+    items = staged(signed.join(groups, ["id", "key"]).dropDuplicates(["id", "key"]), "items")
     met = staged(candidates(items), "candidates")
     texts = rows.join(met, "id", "left_semi").dropDuplicates(["id", "text"])
     found = staged(links(items.join(met, "id", "left_semi"), items.select("id", "signature").join(texts, "id"), _judge(threshold, width)), "links")
