@@ -38,9 +38,10 @@ def token_count(text: str) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[ \t\n\x0B\f\r]+"))).cast("long")
 
 
-def path(levels: Sequence[str]) -> Column:
+def path(levels: Sequence[str | Column]) -> Column:
     """A node's place in the tree as text; values are marked so that null differs from every value."""
-    return F.concat_ws("/", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in levels))
+    values = [F.col(c) if isinstance(c, str) else c for c in levels]
+    return F.concat_ws("/", *(F.coalesce(F.concat(F.lit("="), v.cast("string")), F.lit("null")) for v in values))
 
 
 def leaf_budgets(leaves: DataFrame, weights: DataFrame, share: float, epochs: int) -> DataFrame:
@@ -79,7 +80,10 @@ def select_mix(
     doc_id: str = "doc_id", text: str = "text", domain: Column | str = "domain", lang: str = "lang", source: str = "source",
 ) -> DataFrame:
     """One row per row of docs: doc_id, domain, lang, source, n_tokens, target (of its leaf), copies (0: not selected)."""
-    return _mix(docs, weights, share, epochs, seed, doc_id, text, domain, lang, source).drop("name")
+    keyed, cuts, total = _mix(docs, weights, share, epochs, seed, doc_id, text, domain, lang, source)
+    taken = attach(keyed, cuts, "leaf", "leaf_size", total)
+    copies = F.col("whole") + F.when(F.col("key") <= F.col("cut"), 1).otherwise(0)
+    return taken.select("doc_id", *LEVELS, "n_tokens", "target", F.when(F.col("n_tokens") > 0, copies).otherwise(0).cast("long").alias("copies"))
 
 
 def _name(doc_id: str, text: str) -> Column:
@@ -90,7 +94,8 @@ def _name(doc_id: str, text: str) -> Column:
 def _mix(
     docs: DataFrame, weights: DataFrame, share: float, epochs: int, seed: int,
     doc_id: str, text: str, domain: Column | str, lang: str, source: str,
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame, int]:
+    """The rows with plan and order key, the last key of each leaf's prefix, and the number of rows."""
     rows = docs.select(
         quoted(doc_id).cast("long").alias("doc_id"), _name(doc_id, text).alias("name"), (quoted(domain) if isinstance(domain, str) else domain).cast("string").alias("domain"),
         quoted(lang).cast("string").alias("lang"), quoted(source).cast("string").alias("source"), token_count(text).alias("n_tokens"),
@@ -101,13 +106,14 @@ def _mix(
     plan = leaf_budgets(leaves, weights, share, epochs)
     plan = plan.withColumn("whole", F.when(F.col("supply") > 0, F.floor(F.col("target") / F.col("supply"))).otherwise(0).cast("long"))
     plan = staged(plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("supply")), "mix-plan")
-    key = F.md5(F.concat_ws("-", F.lit(str(seed)), (F.col("whole") + 1).cast("string"), "name").cast("binary"))
     keyed = attach(rows.select("doc_id", "name", "n_tokens", "leaf"), plan, "leaf", "size", total)
-    keyed = staged(keyed.withColumn("key", key), "mix-keys")
-    cuts = _cuts(keyed, plan, total)
-    taken = attach(keyed, cuts, "leaf", "leaf_size", total)
-    copies = F.col("whole") + F.when(F.col("key") <= F.col("cut"), 1).otherwise(0)
-    return taken.select("doc_id", "name", *LEVELS, "n_tokens", "target", F.when(F.col("n_tokens") > 0, copies).otherwise(0).cast("long").alias("copies"))
+    keyed = staged(keyed.withColumn("key", _key(seed, "whole", "name")), "mix-keys")
+    return keyed, _cuts(keyed, plan, total), total
+
+
+def _key(seed: int, whole: str, name: str) -> Column:
+    """32 hexadecimal digits that order the epoch after the whole ones."""
+    return F.md5(F.concat_ws("-", F.lit(str(seed)), (F.col(whole) + 1).cast("string"), name).cast("binary"))
 
 
 def _cuts(keyed: DataFrame, plan: DataFrame, total: int) -> DataFrame:
@@ -125,13 +131,18 @@ def _cuts(keyed: DataFrame, plan: DataFrame, total: int) -> DataFrame:
     last = inside.join(bounds, "leaf").withColumn("upto", F.sum("n_tokens").over(Window.partitionBy("leaf").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)))
     ends = last.where("upto <= rest").groupBy("leaf").agg(F.max("key").alias("end"))
     cut = bounds.join(ends, "leaf", "left").select("leaf", F.coalesce("end", "prefix").alias("cut"))
-    return staged(plan.select("leaf", F.col("size").alias("leaf_size")).join(cut, "leaf", "left").withColumn("cut", F.coalesce("cut", F.lit(""))), "mix-cuts")
+    return staged(plan.select("leaf", F.col("size").alias("leaf_size"), F.col("whole").alias("leaf_whole")).join(cut, "leaf", "left").withColumn("cut", F.coalesce("cut", F.lit(""))), "mix-cuts")
 
 
 def keep_mix(docs: DataFrame, weights: DataFrame, share: float, seed: int, domain: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of docs that one epoch selects, with their columns."""
-    name, chosen = fresh(docs, "name", "chosen")
-    picked = _mix(docs, weights, share, 1, seed, doc_id, text, domain, lang, source).where("copies > 0")
-    names = staged(picked.select(F.col("name").alias(chosen)).distinct(), "mix-chosen")
-    rows = docs.withColumn(name, _name(doc_id, text))
-    return with_columns_of(rows.join(names, F.col(name) == F.col(chosen), "left_semi"), docs.columns)
+    """The rows of docs that one epoch selects, with their columns.
+
+    A row is judged by its own key and the cut of its leaf, so rows of large leaves do not shuffle.
+    """
+    _, cuts, total = _mix(docs, weights, share, 1, seed, doc_id, text, domain, lang, source)
+    name, leaf, size, whole, cut = fresh(docs, "name", "leaf", "leaf_size", "whole", "cut")
+    rows = docs.withColumns({name: _name(doc_id, text), leaf: path([domain, quoted(lang), quoted(source)])})
+    ends = cuts.select(F.col("leaf").alias(leaf), F.col("leaf_size").alias(size), F.col("leaf_whole").alias(whole), F.col("cut").alias(cut))
+    key = _key(seed, whole, name)
+    taken = attach(rows, ends, leaf, size, total).where(((F.col(whole) > 0) | (key <= F.col(cut))) & (token_count(text) > 0))
+    return with_columns_of(taken, docs.columns)
