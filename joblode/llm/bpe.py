@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -25,8 +26,8 @@ from joblode.llm.common import quoted
 
 MATRIX_BYTES = 1024
 MATRIX_CELLS = 1 << 21
-CACHED_CHUNKS = 300_000
-BATCH_CHARS = 4_000_000
+CACHED_CHUNKS = 200_000
+BATCH_CHARS = 1_000_000
 NONE = np.iinfo(np.int32).max
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -234,15 +235,14 @@ def gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
 
 def by_size(batch: pa.RecordBatch, column: str, limit: int = BATCH_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of a batch with at most so many characters (or one row), and the texts; null texts are empty."""
-    texts = [t or "" for t in batch.column(column).to_pylist()]
+    sizes = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_pylist()
     start = size = 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > limit:
-            yield batch.slice(start, i - start), texts[start:i]
+    for i, own in enumerate([*sizes, limit + 1]):
+        if i > start and size + own > limit:
+            part = batch.slice(start, i - start)
+            yield part, [t or "" for t in part.column(column).to_pylist()]
             start, size = i, 0
-        size += len(text)
-    if len(texts) > start:
-        yield batch.slice(start), texts[start:]
+        size += own
 
 
 _codecs: dict[str, Codec] = {}
