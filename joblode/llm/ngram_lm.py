@@ -30,7 +30,7 @@ from joblode.llm.bpe import by_size
 from joblode.llm.common import quoted, staged
 from joblode.llm.near_dedup import mix
 
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 500_000
 RANGE_TOKENS = 1_000_000
 BUCKETS = 48
 STEPS = 4  # of the histogram for a doubling
