@@ -34,6 +34,7 @@ from joblode.llm.common import attach, quoted, scratch, staged
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
 MERGE_ROWS = 20_000
+READERS = 100_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RUN = "file string, pos long, url_key string, captured long, page_id long, offset long, length long, record_type string, payload_digest string"
 RECORD = "file string, offset long, page_id long, url string, captured long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -109,10 +110,10 @@ def _revisits(pages: DataFrame, total: int) -> DataFrame:
     return attach(keys, staged(groups, "warc-groups"), "digest", "size", total).where("not (page_id <=> refers_to)").select("page_id", "digest", "refers_to").distinct()
 
 
-def write_archives(pages: DataFrame, folder: str, captured: Column, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, captured: Column, page_id: str = "page_id", url: str = "url", html: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes the archives and returns the runs: one row per record, sorted in each file, with its place (RUN).
 
-    captured: seconds since 1970 (null: 0).
+    captured: seconds since 1970 (null: 0). archive_bytes: a new archive is begun after so many, uncompressed.
     """
     payload = F.coalesce(quoted(html).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(
@@ -141,7 +142,7 @@ def write_archives(pages: DataFrame, folder: str, captured: Column, page_id: str
                 kind = "response" if row["refers_to"] is None else "revisit"
                 run.append((url_key(row["url"]), row["captured"], row["page_id"], at, len(packed), kind, row["digest"]))
                 at, raw = at + len(packed), raw + len(data)
-                if raw >= ARCHIVE_BYTES:
+                if raw >= archive_bytes:
                     out.close()
                     yield from _run(name, run)
                     out = None
@@ -249,7 +250,8 @@ def read_archives(spark: SparkSession, folder: str, files: DataFrame) -> DataFra
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names=names)
 
-    return files.select("file").distinct().mapInArrow(read, RECORD)
+    files = staged(files.select("file").distinct(), "warc-files")
+    return files.repartition(max(1, min(files.count(), READERS))).mapInArrow(read, RECORD)
 
 
 def _members(stream: pa.NativeFile) -> Iterator[tuple[int, bytes]]:
@@ -272,10 +274,11 @@ def _members(stream: pa.NativeFile) -> Iterator[tuple[int, bytes]]:
             offset += size
 
 
-def round_trip(pages: DataFrame, captured: Column, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def round_trip(pages: DataFrame, captured: Column, page_id: str = "page_id", url: str = "url", html: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write, merge, read back: the records of the archives with their place in the capture history."""
     spark = pages.sparkSession
     folder = scratch(spark, "warc")
-    runs = write_archives(pages, folder, captured, page_id, url, html)
+    runs = write_archives(pages, folder, captured, page_id, url, html, archive_bytes)
     history = capture_histories(runs).select("file", "offset", "url_key")
-    return read_archives(spark, folder, runs).join(history, ["file", "offset"])
+    # both sides are as long as the pages, which their plans don't show: never broadcast one
+    return read_archives(spark, folder, runs).hint("merge").join(history.hint("merge"), ["file", "offset"])
