@@ -1,7 +1,7 @@
 """Personal data: rules for e-mail, IP, card and phone, and a bootstrapped search for identifiers that no rule knows.
 
 Rules find the base spans. They are the seeds: the words around a seed are a lexical pattern (the two words before it,
-or the words on both sides). Other tokens with digits are candidates. Patterns and the identifiers that stand in them
+or the words on both sides). Other tokens with digits, of any length, are candidates. Patterns and the identifiers that stand in them
 form a graph, which Spark scores in rounds: a pattern's confidence is the known share of its identifiers, an
 identifier's is the chance that one of its reliable patterns is right. A pattern is reliable if MIN_SUPPORT different
 known identifiers stand in it and its confidence reaches MIN_CONFIDENCE. Identifiers that reach MIN_SCORE after the
@@ -31,7 +31,8 @@ RULES = {
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-CANDIDATE = r"(?<!\S)(?=[^\s0-9]{0,63}[0-9])\S{5,64}(?!\S)"
+CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+LONG = 64
 CONTEXT = 80
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.8
@@ -112,11 +113,16 @@ def _with_context(spans: Column) -> Column:
         after = F.element_at(F.split(F.concat(F.btrim(_plain(right)), F.lit(" $")), r"\s+"), 1)
         last = F.element_at(before, -1)
         patterns = F.array(F.concat_ws(" ", F.lit("L"), F.element_at(before, -2), last), F.concat_ws(" ", F.lit("M"), last, after))
-        return F.struct(span["kind"].alias("kind"), start.alias("start"), end.alias("end"), F.lower(span["value"]).alias("value"), patterns.alias("patterns"))
+        return F.struct(span["kind"].alias("kind"), start.alias("start"), end.alias("end"), _short(F.lower(span["value"])).alias("value"), patterns.alias("patterns"))
 
     return F.transform(spans, add)
 
 
+def _short(word: Column) -> Column:
+    """A word of more than LONG characters by its digest, which is longer than any word that stays as it is."""
+    return F.when(F.length(word) <= LONG, word).otherwise(F.concat(F.lit("#"), F.sha2(word.cast("binary"), 256)))
+
+
 def _plain(words: Column) -> Column:
     return F.regexp_replace(F.lower(words), "[0-9]+", "0")
 

@@ -295,6 +295,14 @@ def test_patterns_of_known_identifiers_find_new_ones(spark):
     assert all(got[i].startswith("email:") and "id:" not in got[i] for i in range(12))
 
 
+def test_identifiers_of_any_length_are_found(spark):
+    rows = [(i, f"{text(i, 9)} please write to user{i}@mail.org or wait", None, None) for i in range(20)]
+    names = {50: "a1b", 51: "7", 52: "k" * 64 + "9", 53: "5" + "k" * 499, 54: "abcd-5678"}
+    rows += [(i, f"so please write to {name} or wait there", None, None) for i, name in names.items()]
+    got = {r.doc_id: r.spans for r in pii.find_personal(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {i: got[i] for i in names} == {i: f"id:19:{19 + len(name)}" for i, name in names.items()}
+
+
 def test_shards(spark, docs):
     hot = [(1000 + i, "hot text " * 9, "en", "s") for i in range(300)] + [(None, "hot text " * 9, "en", "s")] * 40
     rows = [*((i, text(i, 20 + i % 30), "en", "s") for i in range(600)), *sample_docs()[:-6], *hot]
