@@ -1,11 +1,11 @@
 """Personal data: rules for e-mail, IP, card and phone, and a bootstrapped search for identifiers that no rule knows.
 
 Rules find the base spans. They are the seeds: the words around a seed are a lexical pattern (the two words before it,
-or the words on both sides). Other tokens with digits, of any length, are candidates. Patterns and the identifiers that stand in them
+or the words on both sides; words are cut at white space, however far off). Other tokens with digits, of any length, are candidates. Patterns and the identifiers that stand in them
 form a graph, which Spark scores in rounds: a pattern's confidence is the known share of its identifiers, an
 identifier's is the chance that one of its reliable patterns is right. A pattern is reliable if MIN_SUPPORT different
-known identifiers stand in it and its confidence reaches MIN_CONFIDENCE. Identifiers that reach MIN_SCORE after the
-last round become spans of kind `id` wherever they stand in a reliable pattern.
+known identifiers stand in it and its confidence reaches MIN_CONFIDENCE. Rounds end when no pattern can become reliable
+any more, or when no score rises by more than SETTLED. Identifiers that reach MIN_SCORE then become spans of kind `id` wherever they stand in a reliable pattern.
 
 Only DataFrame operations run. A match is marked in the text and the text cut at the marks, so offsets are sums of
 lengths (code points, end exclusive). The patterns are possessive and bound to the start of a run, so each text is
@@ -33,11 +33,11 @@ RULES = {
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 LONG = 64
-CONTEXT = 80
+REACHES = [80, 80 << 4, 80 << 8, 80 << 12]
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.8
 MIN_SCORE = 0.8
-ROUNDS = 3
+SETTLED = 1e-9
 
 
 def _valid(kind: str, found: Column) -> Column:
@@ -105,17 +105,42 @@ _WITH_CONTEXT = "array<struct<kind:string,start:int,end:int,value:string,pattern
 
 
 def _with_context(spans: Column) -> Column:
+    def words(span: Column) -> Column:
+        before = F.split(_trimmed(F.concat(F.lit("^ ^ "), _plain(_left(span["start"])))), r"\s+")
+        after = F.split(_trimmed(F.concat(_plain(_right(span["end"])), F.lit(" $"))), r"\s+", 2)
+        near = F.transform(F.concat(F.slice(before, -2, 2), F.slice(after, 1, 1)), _short)
+        return F.struct(*(span[c].alias(c) for c in ("kind", "start", "end", "value")), near.alias("near"))
+
     def add(span: Column) -> Column:
-        start, end = span["start"], span["end"]
-        left = F.substring(F.col("body"), F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
-        right = F.substring(F.col("body"), end + 1, F.lit(CONTEXT))
-        before = F.split(F.concat(F.lit("^ ^ "), F.btrim(_plain(left))), r"\s+")
-        after = F.element_at(F.split(F.concat(F.btrim(_plain(right)), F.lit(" $")), r"\s+"), 1)
-        last = F.element_at(before, -1)
-        patterns = F.array(F.concat_ws(" ", F.lit("L"), F.element_at(before, -2), last), F.concat_ws(" ", F.lit("M"), last, after))
-        return F.struct(span["kind"].alias("kind"), start.alias("start"), end.alias("end"), _short(F.lower(span["value"])).alias("value"), patterns.alias("patterns"))
+        word = [span["near"][i] for i in range(3)]
+        patterns = F.array(F.concat_ws(" ", F.lit("L"), word[0], word[1]), F.concat_ws(" ", F.lit("M"), word[1], word[2]))
+        return F.struct(
+            span["kind"].alias("kind"), span["start"].alias("start"), span["end"].alias("end"), _short(F.lower(span["value"])).alias("value"), patterns.alias("patterns")
+        )
+
+    return F.transform(F.transform(spans, words), add)
+
+
+def _left(start: Column) -> Column:
+    """What stands before a span, back to two whole words at least. Most are near, so the rest is not read for them."""
+    out = F.substring(F.col("body"), F.lit(1), start)
+    for reach in reversed(REACHES):
+        part = F.substring(F.col("body"), F.greatest(start - reach, F.lit(0)) + 1, F.least(start, F.lit(reach)))
+        out = F.when((start <= reach) | part.rlike(r"\s\S++\s++\S++\s*+$"), part).otherwise(out)
+    return out
+
+
+def _right(end: Column) -> Column:
+    """What stands behind a span, on to a whole word at least."""
+    out = F.substring(F.col("body"), end + 1, F.length("body"))
+    for reach in reversed(REACHES):
+        part = F.substring(F.col("body"), end + 1, F.lit(reach))
+        out = F.when((F.length(part) < reach) | part.rlike(r"^\s*+\S++\s"), part).otherwise(out)
+    return out
+
 
-    return F.transform(spans, add)
+def _trimmed(words: Column) -> Column:
+    return F.btrim(words, F.lit(" \t\n\u000b\f\r"))
 
 
 def _short(word: Column) -> Column:
@@ -136,19 +161,30 @@ def discovered(found: DataFrame) -> DataFrame:
     graph = stands.groupBy("pattern", "value").agg(F.max((F.col("kind") != "id").cast("double")).alias("seed"))
     # only patterns of enough identifiers can ever be reliable, and only their identifiers matter
     sizes = graph.groupBy("pattern").agg(F.count("*").alias("patterns_size")).where(F.col("patterns_size") >= MIN_SUPPORT)
-    edges = staged(attach(graph, staged(sizes, "pii-patterns"), "pattern", "patterns_size", graph.count()).select("pattern", "value", "seed", F.col("seed").alias("score")), "pii-edges")
+    edges = staged(attach(graph, staged(sizes, "pii-patterns"), "pattern", "patterns_size", graph.count()).select("pattern", "value", F.col("seed").alias("score")), "pii-edges")
     total = edges.count()
-    for _ in range(ROUNDS):
-        known = (F.col("score") >= MIN_SCORE).cast("long")
+    before, rise = None, 1.0
+    while True:
+        # scores only rise, to 1 at most: a pattern whose identifiers above 0 are too few will not be reliable in a later
+        # round either, and without one that may still be, the reliable patterns are final
+        support, most = F.sum((F.col("score") >= MIN_SCORE).cast("long")), F.sum((F.col("score") > 0).cast("long"))
         rated = edges.groupBy("pattern").agg(
-            F.sum(known).alias("support"), (F.sum("score") / F.count("*")).alias("confidence"), F.count("*").alias("size"),
-        ).where((F.col("support") >= MIN_SUPPORT) & (F.col("confidence") >= MIN_CONFIDENCE))
-        reliable = staged(rated.select("pattern", "confidence", "size"), "pii-rated")
+            support.alias("support"), most.alias("most"), (F.sum("score") / F.count("*")).alias("confidence"), F.count("*").alias("size"),
+        ).where((F.col("most") >= MIN_SUPPORT) & (F.col("most") / F.col("size") >= MIN_CONFIDENCE))
+        good = (F.col("support") >= MIN_SUPPORT) & (F.col("confidence") >= MIN_CONFIDENCE)
+        rated = staged(rated.select("pattern", "confidence", "size", good.alias("good")), "pii-rated")
+        reliable = rated.where("good").drop("good")
+        sure, unsure = rated.agg(F.count_if("good"), F.count_if(~F.col("good"))).first()
+        if sure == before and (not unsure or rise <= SETTLED):
+            break
+        before = sure
         votes = attach(edges.select("pattern", "value"), reliable, "pattern", "size", total)
         miss = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))))
         scores = staged(votes.groupBy("value").agg((1 - F.exp(miss)).alias("vote")), "pii-scores")
-        held = edges.select("pattern", "value", "seed").join(scores, "value", "left")
-        edges = staged(held.select("pattern", "value", "seed", F.greatest("seed", F.coalesce("vote", F.lit(0.0))).alias("score")), "pii-edges")
+        held = edges.withColumnRenamed("score", "was").join(scores, "value", "left")
+        edges = staged(held.select("pattern", "value", F.greatest("was", F.coalesce("vote", F.lit(0.0))).alias("score"), "was"), "pii-edges")
+        rise = edges.agg(F.max(F.col("score") - F.col("was"))).first()[0] or 0.0
+        edges = edges.drop("was")
     hits = attach(stands.where("kind = 'id'"), reliable, "pattern", "size", total)
     good = staged(scores.where(F.col("vote") >= MIN_SCORE).select("value"), "pii-good")
     return hits.join(good, "value", "left_semi").select("doc_id", "text_key", "start", "end").distinct()

@@ -303,6 +303,29 @@ def test_identifiers_of_any_length_are_found(spark):
     assert {i: got[i] for i in names} == {i: f"id:19:{19 + len(name)}" for i, name in names.items()}
 
 
+def test_patterns_are_followed_to_the_end_of_a_chain(spark):
+    steps = 7
+    rows = [(i, f"start with s{i}@mail.org end", None, None) for i in range(6)]
+    # beside five seeds, step k holds the identifiers of step k - 1 and k: without the first, its confidence is 5/7
+    chain = [(k, f"code{k}-{k}x") for k in range(steps)]
+    seeds = [f"s{i}@mail.org" for i in range(6)]
+    for k, name in chain:
+        held = [*seeds[:5], chain[k - 1][1] if k else seeds[5], name]
+        rows += [(100 * (k + 1) + j, f"step {'abcdefghij'[k]}word {x} {'abcdefghij'[k]}{j}end", None, None) for j, x in enumerate(held)]
+    got = {r.doc_id: r.spans for r in pii.find_personal(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(f"id:11:{11 + len(name)}" == got[100 * (k + 1) + 6] for k, name in chain)
+
+
+def test_contexts_are_whole_words_behind_any_blanks(spark):
+    gap = " \n" * 60
+    rows = [(i, f"{text(i, 9)} please write{gap}user{i}@mail.org{gap}or wait", None, None) for i in range(12)]
+    rows += [(50 + i, f"{text(i, 9)} other words{gap}item-{i}{gap}more", None, None) for i in range(12)]
+    rows += [(90, f"please write{gap}account-77123{gap}or", None, None), (91, "1997 was fine", None, None)]
+    got = {r.doc_id: r.spans for r in pii.find_personal(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[90] == "id:132:145" and {got[i] for i in (*range(50, 62), 91)} == {""}
+    assert all(got[i].startswith("email:") and "id:" not in got[i] for i in range(12))
+
+
 def test_shards(spark, docs):
     hot = [(1000 + i, "hot text " * 9, "en", "s") for i in range(300)] + [(None, "hot text " * 9, "en", "s")] * 40
     rows = [*((i, text(i, 20 + i % 30), "en", "s") for i in range(600)), *sample_docs()[:-6], *hot]
