@@ -2,7 +2,7 @@
 
 Vectors are scaled to length one. A table rounds PROJECTIONS(n) random Gaussian projections, shifted and divided by
 WIDTH, to integers and hashes them. The number of projections grows with the logarithm of the row count, so that
-unrelated vectors rarely meet; the number of tables follows from it, so that a pair at the threshold is missed with a
+unrelated vectors rarely meet, as long as MAX_TABLES tables do; the number of tables follows from it, so that a pair at the threshold is missed with a
 probability of MISS at most. Every pair that meets is held against the cosine in double precision, once.
 
 Equal vectors are one item with a count. Vectors that are null, empty, zero or hold null or non-finite components link
@@ -39,12 +39,16 @@ def collision(distance: float, width: float = WIDTH) -> float:
 
 
 def plan(rows: int, threshold: float) -> tuple[int, int]:
-    """Projections for each table and tables: about one unrelated row in ten meets a row in a table."""
+    """Projections for each table and tables: about one unrelated row in ten meets a row in a table.
+
+    Where that takes more than MAX_TABLES tables, fewer projections: more rows meet, no more pairs are missed.
+    """
     k = max(4, math.ceil(math.log(10 * max(rows, 10)) / -math.log(collision(UNRELATED))))
-    near = collision(math.sqrt(max(0.0, 2 - 2 * threshold))) ** k
-    tables = 1 if near >= 1 else math.ceil(math.log(MISS) / math.log1p(-near))
-    if tables > MAX_TABLES:
-        raise ValueError(f"threshold {threshold} needs {tables} tables; raise it")
+    near = collision(math.sqrt(max(0.0, 2 - 2 * threshold)))
+    needed = lambda k: 1 if near**k >= 1 else math.ceil(math.log(MISS) / math.log1p(-(near**k)))
+    while k > 1 and needed(k) > MAX_TABLES:
+        k -= 1
+    tables = needed(k)
     return k, tables
 
 

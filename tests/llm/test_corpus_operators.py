@@ -217,6 +217,14 @@ def test_embedding_links(spark, monkeypatch):
         assert r.kept == (r.vec_id == r.component_id)
 
 
+@pytest.mark.parametrize("threshold", [0.95, 0.8, 0.5, 0.0])
+def test_any_number_of_vectors_has_a_plan(threshold):
+    near = embedding_dedup.collision(math.sqrt(2 - 2 * threshold))
+    for rows in (0, 10**3, 2 * 10**8, 10**9, 10**12):
+        k, tables = embedding_dedup.plan(rows, threshold)
+        assert k >= 1 and tables <= embedding_dedup.MAX_TABLES and (1 - near**k) ** tables <= embedding_dedup.MISS
+
+
 def test_components(spark):
     draw = random.Random(2)
     edges = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(300, 360)] + [(draw.randrange(400, 600), draw.randrange(400, 600)) for _ in range(120)]
