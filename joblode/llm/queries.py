@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joblode.llm import bpe, embedding_dedup, exact_dedup, langid, mixing, near_dedup, ngram_lm, pii, sharding, warc
+from joblode.llm import (
+    bpe, collocations, embedding_dedup, exact_dedup, langid, line_rules, mixing, near_dedup, ngram_lm, periodic, pii, sharding, warc,
+)
 from joblode.llm.common import doc_remainder, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -87,6 +89,48 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select_mix(table(spark, sf_dir, "documents"), weights, MIX_SHARE, MIX_EPOCHS, MIX_SEED, domain=domain())
 
 
+def disturbed(doc_id: Column, text: Column) -> Column:
+    """The text, with a stretch repeated to its end in a tenth of the documents (by crc32 of the id)."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([^\\x20\\x09-\\x0D]+)"), F.lit(1))
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    n, g = F.size(words).cast("long"), F.floor(h / 10)
+    a = g % n
+    period = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+    copies = F.ceil((n - a) / period)
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a.cast("int") + 1, period.cast("int")), copies.cast("int"))), F.lit(1), (n - a).cast("int"))
+    whole = F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), tail), " ")
+    return F.when((h % 10 == 0) & (n > 0), whole).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every text, a tenth of the texts made to repeat."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", disturbed(F.col("doc_id"), F.col("text")).alias("text"))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    return periodic.find_runs(docs).withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.before")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text, two plain rules, and the share of words that the line field marks as content."""
+    docs = table(spark, sf_dir, "documents")
+    field = line_rules.learn(docs, table(spark, sf_dir, "labels"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return line_rules.label_lines(docs, field).withColumn("base_failed", failed).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        (~F.col("base_failed") & (F.col("content_share") >= line_rules.KEEP_SHARE)).alias("kept"), "n_lines", "n_content_lines", "content_share",
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of two to five words of each language, by how far they exceed their parts."""
+    return collocations.mine(table(spark, sf_dir, "documents")).drop("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -98,6 +142,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_lm_scores": op9_lm_scores,
     "op10_mixing": op10_mixing,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_collocations": op13_collocations,
 }
 
 
@@ -133,7 +180,50 @@ def _mix_sql() -> str:
       CASE WHEN n_tokens > 0 THEN whole + (upto <= target - whole * supply)::INT ELSE 0 END::BIGINT AS copies FROM c"""
 
 
+#: crc32 of the decimal doc_id, byte by byte and bit by bit.
+_CRC_SQL = """xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT),
+      lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::BIGINT))"""
+
+_RUNS_SQL = f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\v\\f\\r]+') AS ws, {_CRC_SQL} AS h FROM documents),
+    e AS (SELECT *, len(ws) AS n, (h // 10) % len(ws) AS a, 1 + (len(ws) - (h // 10) % len(ws)) // (3 + (h // 10) % 8) AS p FROM d WHERE len(ws) > 0),
+    t AS (SELECT rid, n, unnest(range(n)) AS i, unnest(CASE WHEN h % 10 = 0
+        THEN list_transform(range(n), lambda j: ws[CASE WHEN j < a THEN j ELSE a + (j - a) % p END + 1]) ELSE ws END) AS w FROM e),
+    m AS (SELECT x.rid, y.i - x.i AS q, x.i FROM t x JOIN t y ON x.rid = y.rid AND x.w = y.w AND y.i > x.i AND (y.i - x.i) * 4 <= x.n),
+    s AS (SELECT rid, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS g FROM m)
+      GROUP BY rid, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+    r AS (SELECT rid, start, length, min(q) AS period FROM s GROUP BY rid, start, length),
+    b AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+      first({{'s': start, 'l': length, 'p': period}} ORDER BY length DESC, start, period) AS best FROM r GROUP BY rid),
+    c AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS body FROM t
+      WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.rid = t.rid AND t.i >= r.start + r.period AND t.i < r.start + r.length) GROUP BY rid)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, 1000 * best.l // best.p AS exponent_milli,
+      sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+    FROM d LEFT JOIN b USING (rid) LEFT JOIN c USING (rid)"""
+
+_PHRASES_SQL = """
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\n\\v\\f\\r]')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS ws FROM p),
+    k AS (SELECT unnest(range(1, 6)) AS k),
+    g AS (SELECT lang, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM w, k WHERE len(ws) >= k),
+    f AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+    n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+    c AS (SELECT lang, phrase, a, k, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS v FROM f WHERE k > 1),
+    s AS (SELECT c.lang, c.phrase, c.a, c.cut, x.a AS l, y.a AS r, n.n,
+        ((1000::HUGEINT * c.a * n.n) // (x.a::HUGEINT * y.a))::BIGINT AS score FROM c
+      JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(v[1 : cut], ' ')
+      JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(v[cut + 1 : c.k], ' ') JOIN n ON n.lang = c.lang),
+    best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM s),
+    inside AS (SELECT lang, array_to_string(v[i : j], ' ') AS phrase, max(a) AS longer FROM (SELECT DISTINCT lang, a, k, v FROM c), 
+      (SELECT unnest(range(1, 6)) AS i), (SELECT unnest(range(1, 6)) AS j) WHERE j > i AND j <= k AND j - i + 1 < k GROUP BY ALL),
+    o AS (SELECT b.lang, b.phrase, b.a, l, r, n, score, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank
+      FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE place = 1 AND coalesce(longer < b.a, true))
+    SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000"""
+
 ORACLE: dict[str, str] = {
+    "op11_periodic_runs": _RUNS_SQL,
+    "op13_collocations": _PHRASES_SQL,
     "op2_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
         g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
