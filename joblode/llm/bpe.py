@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame
 from joblode.llm.common import quoted
 
 MATRIX_BYTES = 1024
-MATRIX_CELLS = 1 << 21
-CACHED_CHUNKS = 200_000
-BATCH_CHARS = 1_000_000
+MATRIX_CELLS = 1 << 18
+CACHED_CHUNKS = 150_000
+CACHED_CHARS = 4_000_000
+BATCH_CHARS = 500_000
 NONE = np.iinfo(np.int32).max
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,6 +99,7 @@ class Codec:
 
     def _clear(self) -> None:
         self.chunks: dict[str, int] = {}
+        self.weight = 0
         self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
@@ -188,6 +190,7 @@ class Codec:
         self.pool = np.concatenate([self.pool, *ids])
         for c in chunks:
             self.chunks[c] = len(self.chunks)
+            self.weight += len(c)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of ids of each text.
@@ -207,7 +210,7 @@ class Codec:
                 own = [first, *[" " + c for c in rest]]
             counts[i] = len(own)
             chunks += own
-        if len(self.chunks) > CACHED_CHUNKS or len(self.pool) > 8 * CACHED_CHUNKS:
+        if len(self.chunks) > CACHED_CHUNKS or self.weight > CACHED_CHARS:
             self._clear()
         new = [c for c in dict.fromkeys(chunks) if c not in self.chunks]
         if new:

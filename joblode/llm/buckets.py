@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from joblode.llm.common import attach, staged
 
 BLOCK = 256
-SHARD_ROWS = 2048
+SHARD_ROWS = 1024
 
 #: Called once for the rows of a task; gives a function (rows a, rows b, open pairs) -> linked pairs.
 Judge = Callable[[pd.DataFrame], Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]]

@@ -29,6 +29,20 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fresh_prefix(df: DataFrame, *names: str) -> str:
+    """The shortest prefix of underscores under which df has none of the names, whatever its case."""
+    taken, prefix = {c.lower() for c in df.columns}, ""
+    while any(f"{prefix}{name}".lower() in taken for name in names):
+        prefix += "_"
+    return prefix
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that no column of df has, whatever its case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from joblode.llm.bpe import by_size
 from joblode.llm.common import fresh, quoted
@@ -98,8 +99,10 @@ def identify(docs: DataFrame, learn_from: Column | None = None, text: str = "tex
     shared = docs.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(table.T), priors))
     names = [f"{prefix}lang_pred", f"{prefix}score"]
     kept = [f for f in docs.schema.fields if f.name.lower() not in names]
-    (body,) = fresh(docs, "text_read")
-    rows = docs.select(*(quoted(f.name) for f in kept), quoted(text).cast("string").alias(body))
+    carried = any(f.name == text and f.dataType == StringType() for f in kept)
+    (body,) = (text,) if carried else fresh(docs, "text_read")
+    rows = docs.select(*(quoted(f.name) for f in kept), *([] if carried else [quoted(text).cast("string").alias(body)]))
+    width = len(kept)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table, priors = shared.value
@@ -110,8 +113,8 @@ def identify(docs: DataFrame, learn_from: Column | None = None, text: str = "tex
                 has = has & bool(langs)
                 pred = [langs[k] if ok else UNKNOWN for k, ok in zip(best, has, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(pred, pa.string()), pa.array(np.where(has, score, 0.0), pa.float64())],
-                    names=[*part.schema.names[:-1], *names],
+                    [*part.columns[:width], pa.array(pred, pa.string()), pa.array(np.where(has, score, 0.0), pa.float64())],
+                    names=[*part.schema.names[:width], *names],
                 )
 
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{names[0]}` string", f"`{names[1]}` double"])

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joblode.llm.bpe import by_size
+from joblode.llm.bpe import BATCH_CHARS, by_size
 from joblode.llm.buckets import candidates, links
 from joblode.llm.common import attach, components, fresh, quoted, staged, with_columns_of
 
@@ -77,6 +77,21 @@ def shingles(texts: list[str], width: int = WORDS) -> tuple[list[bytes], np.ndar
     return keys, owner[begin], taken[begin], np.diff(np.append(begin, len(taken)))
 
 
+def _all_shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, distinct shingle hashes and counts of many texts, read in parts of about BATCH_CHARS."""
+    owners, elements, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    start = size = 0
+    for i, text in enumerate([*texts, None]):
+        if i > start and (text is None or size + len(text) > BATCH_CHARS):
+            _, owner, element, weight = shingles(texts[start:i], width)
+            owners.append(owner + start)
+            elements.append(element)
+            weights.append(weight)
+            start, size = i, 0
+        size += len(text or "")
+    return np.concatenate(owners), np.concatenate(elements), np.concatenate(weights)
+
+
 def signatures(number: int, owner: np.ndarray, element: np.ndarray, weight: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     """Registers of each of `number` bags: the time of the first point that counts."""
     out = np.full(number * registers, np.inf)
@@ -119,7 +134,7 @@ def _judge(threshold: float, width: int):
         ids, texts = frame["id"].to_numpy(), frame["text"].to_numpy()
         place: dict = {}
         slot = np.array([place.setdefault((i, t), len(place)) for i, t in zip(ids, texts, strict=True)])
-        _, owner, element, weight = shingles([t for _, t in place], width)
+        owner, element, weight = _all_shingles([t for _, t in place], width)
         _, element = np.unique(element, return_inverse=True)
         bounds = np.searchsorted(owner, np.arange(len(place) + 1))
         total = np.bincount(owner, weight, len(place))[slot]
@@ -169,10 +184,12 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
                 for r in range(ROWS):
                     bands = mix(bands * _G + found[:, r::ROWS] + np.uint64(r))
                 full = np.bincount(owner, minlength=len(texts)) > 0
-                hashes = [h.tolist() if ok else None for h, ok in zip(bands.view(np.int64), full, strict=True)]
+                offsets = np.concatenate([[0], np.cumsum(np.where(full, BANDS, 0))])
+                hashes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(bands[full].view(np.int64).ravel()), mask=pa.array(~full))
                 short = (mix(found) >> np.uint64(32)).astype(np.uint32)
+                whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * REGISTERS), len(texts), [None, pa.py_buffer(short.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array([s.tobytes() for s in short], pa.binary())],
+                    [part.column("id"), pa.array(keys, pa.binary()), hashes, whole.cast(pa.binary())],
                     names=["id", "key", "hashes", "signature"],
                 )
 

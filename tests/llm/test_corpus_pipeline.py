@@ -10,6 +10,7 @@ import corpus_pipeline
 from joblode.llm import bpe
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHES = ["score", "lang_pred", "_Score", "copy_key", "keep_id", "gone_id", "class_id", "n_tokens", "token_ids", "key", "id", "domain", "copies"]
 
 
 @pytest.fixture(scope="module")
@@ -65,6 +66,30 @@ def test_stages(spark, sf_dir):
     assert Counter((r.doc_id, tuple(r.token_ids)) for r in final) == Counter((r.doc_id, tuple(r.token_ids)) for r in rows["bpe"])
 
 
+def test_stages_leave_columns_with_clashing_names_alone(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", *(f"coalesce(doc_id, -1) * 100 + {i} AS `{c}`" for i, c in enumerate(CLASHES)))
+    for name, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), stage(spark, docs, sf_dir).schema)
+        if name != "bpe":
+            assert docs.columns == columns and docs.count()
+            for row in docs.collect():
+                assert all(row[c] == (-1 if row.doc_id is None else row.doc_id) * 100 + i for i, c in enumerate(CLASHES))
+
+
+def test_run_decodes_and_cleans_up(spark, sf_dir):
+    import hashlib
+    from pathlib import Path
+
+    from joblode.session import shared_folder
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    assert rows and all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in rows)
+    assert not list(Path(shared_folder(spark).removeprefix("file:")).glob("pipeline-near_dedup-*"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
 def test_stages_on_an_empty_table(spark):
     docs = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
