@@ -14,7 +14,7 @@ from joblode.functions import markup, text, times, urls
 from joblode.functions import variants as V
 from joblode.operators import dedupe, insights, match, ratecap, responses, search, upsert
 from joblode.plans import listing_view as view
-from joblode.schemas import ORDER_COLUMNS
+from joblode.schemas import JOB, ORDER_COLUMNS
 from joblode.session import shared_folder
 from joblode.operators.ingest import ingest
 from joblode.sources.landing import payload_table, read_payloads
@@ -152,6 +152,37 @@ def _merged_table(spark: SparkSession, sf_dir: str) -> JobTable:
     return table
 
 
+def _repointed_batch(spark: SparkSession, sf_dir: str, first: bool) -> DataFrame:
+    """Lines of orders as job records: three ids and three URLs an order, tied anew by each line."""
+    part, supplier, line = (F.split("seq", "-")[i].cast("long") for i in (1, 2, 3))
+    rows = view.listing_rows(spark, sf_dir).where((line <= 3) == F.lit(first))
+    place = F.when(part % 4 > 0, F.concat(F.lit("https://jobs.example.com/o/"), F.col("order_key").cast("string"), F.lit("/"), (part % 4).cast("string")))
+    made = rows.select(
+        F.concat(F.lit("j"), F.col("order_key").cast("string"), F.lit("-"), (supplier % 3).cast("string")).alias("id"),
+        place.alias("source_job_url"), "source", "title", "company",
+        view.source_rank(F.col("source")).alias("src_rank"), F.col("order_key").alias("payload_id"), F.col("seq").alias("pos"),
+    )
+    rest = {f.name: F.lit(None).cast(f.dataType) for f in JOB.fields if f.name not in made.columns}
+    return made.withColumns(rest)
+
+
+def upsert_repointed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches whose ids change their URL from record to record, merged in order of arrival."""
+    table = JobTable(spark, f"{shared_folder(spark)}/jobs-{uuid4().hex}")
+    table.upsert(_repointed_batch(spark, sf_dir, True), FIRST_BATCH_AT)
+    table.upsert(_repointed_batch(spark, sf_dir, False), SECOND_BATCH_AT)
+    return table.read().select("id", "source_job_url", "title", *(stamp(F.col(name)).alias(name) for name in ("created_at", "updated_at")))
+
+
+def stored_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored rows by the URLs and ids of listings, through the index and the buckets."""
+    table = _merged_table(spark, sf_dir)
+    wanted = view.jobs(spark, sf_dir, "payload_id % 64 = 3").select("id", "source_job_url")
+    wanted = table.staged(wanted)
+    found = {"id": table.by_ids(wanted), "url": table.by_urls(wanted)}
+    return reduce(DataFrame.unionByName, (rows.select("id", "source_job_url", F.lit(way).alias("way")) for way, rows in found.items()))
+
+
 def list_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stored job."""
     return search.list_jobs(_merged_table(spark, sf_dir).jobs()).select("id", "title", "company", "freshness_days")
@@ -429,6 +460,8 @@ QUERIES: dict[str, Query] = {
     "insight_count": insight_count,
     "lookup_by_ids": lookup_by_ids,
     "upsert_two_batches": upsert_two_batches,
+    "upsert_repointed": upsert_repointed,
+    "stored_lookup": stored_lookup,
     "list_jobs": list_jobs,
     "stored_insights": stored_insights,
     "insert_branch": insert_branch,

@@ -197,6 +197,30 @@ SELECT id, source, source_job_id, source_job_url, title, skills,
   {_in_batch('born', 'created_at')}, {_in_batch('seen', 'updated_at')}, {_in_batch('seen', 'last_seen_at')}
 FROM merged""")
 
+_ROW = "{'id': %s, 'url': url, 'title': title, 'born': %s, 'seen': batch}"
+#: One record of every order in each step; state holds the rows of an order from the oldest on.
+_REPLAY = f"""
+WITH RECURSIVE lv AS ({LISTING_SQL}),
+made AS (SELECT order_key, title, 'j' || order_key || '-' || (split_part(seq, '-', 3)::BIGINT % 3) AS id,
+    CASE WHEN split_part(seq, '-', 2)::BIGINT % 4 > 0
+      THEN 'https://jobs.example.com/o/' || order_key || '/' || (split_part(seq, '-', 2)::BIGINT % 4) END AS url,
+    CASE WHEN split_part(seq, '-', 4)::BIGINT <= 3 THEN 0 ELSE 1 END AS batch, seq, {_source_rank('source')} AS src_rank FROM lv),
+line AS (SELECT *, row_number() OVER (PARTITION BY order_key ORDER BY batch, src_rank, seq) AS step FROM made),
+state AS (
+  SELECT DISTINCT order_key, 0::BIGINT AS step, []::STRUCT(id VARCHAR, url VARCHAR, title VARCHAR, born INTEGER, seen INTEGER)[] AS jobs FROM line
+  UNION ALL
+  SELECT order_key, step, CASE WHEN hit > 0
+    THEN list_transform(jobs, lambda x, i: CASE WHEN i = hit THEN {_ROW % ('x.id', 'x.born')} ELSE x END)
+    ELSE list_append(jobs, {_ROW % ('id', 'batch')}) END
+  FROM (SELECT s.order_key, l.step, s.jobs, l.id, l.url, l.title, l.batch, CASE
+      WHEN l.url IS NOT NULL AND list_position(list_transform(s.jobs, lambda x: x.url), l.url) > 0
+      THEN list_position(list_transform(s.jobs, lambda x: x.url), l.url)
+      ELSE coalesce(list_position(list_transform(s.jobs, lambda x: x.id), l.id), 0) END AS hit
+    FROM state s JOIN line l ON l.order_key = s.order_key AND l.step = s.step + 1))
+SELECT j.id, j.url AS source_job_url, j.title, {_in_batch('j.born', 'created_at')}, {_in_batch('j.seen', 'updated_at')}
+FROM (SELECT order_key, unnest(arg_max(jobs, step)) AS j FROM state GROUP BY order_key)"""
+
+
 def _dollars(amount: str) -> str:
     return f"'$' || format('{{:,}}', {amount})"
 
@@ -444,6 +468,10 @@ QUALIFY row_number() OVER (PARTITION BY {_canonical('url')} ORDER BY page_id) =
         ) + " FROM dated"
     ),
     "export_roundtrip": _jobs(f"SELECT id, {_SKILLS} AS skills, {_stamp('posted_at')} AS posted_at FROM dated"),
+    "upsert_repointed": _REPLAY,
+    "stored_lookup": _jobs(f"""{_MERGED}, wanted AS (SELECT id, source_job_url FROM dated WHERE order_key % 64 = 3)
+SELECT id, source_job_url, 'id' AS way FROM kept WHERE id IN (SELECT id FROM wanted)
+UNION ALL SELECT id, source_job_url, 'url' FROM kept WHERE source_job_url IN (SELECT source_job_url FROM wanted)"""),
     "list_jobs": _jobs(f"{_MERGED} SELECT id, title, company, freshness_days FROM kept"),
     "stored_insights": _jobs(_MERGED + " " + " UNION ALL ".join(
         _counted(named, 15, f", '{name}' AS dimension") for name, named in {

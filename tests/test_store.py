@@ -6,7 +6,9 @@ from pyspark.sql import types as T
 
 from joblode.operators import insights, upsert
 from joblode.schemas import JOB, JOB_FIELDS, STORED_JOB
-from joblode.sources.store import ConflictingIds, JobTable
+from joblode.operators.closure import linked_groups
+from joblode.operators.replay import RECORD, repointed_ids, replayed
+from joblode.sources.store import JobTable
 
 T1 = datetime(2026, 3, 22, 9, 0, tzinfo=timezone.utc)
 T2 = datetime(2026, 3, 23, 11, 30, tzinfo=timezone.utc)
@@ -99,14 +101,93 @@ def test_merge_equals_one_record_after_the_other(spark, jobs, tmp_path):
     assert got == {i: (r["title"], r["source_job_url"], naive(r["born"]), naive(r["seen"])) for i, r in plain.items()}
 
 
-def test_a_batch_with_two_urls_for_an_id_is_refused(spark, jobs, tmp_path):
+def replay_plainly(plain, rows, clock):
+    """Each row of a batch after the other; plain: id -> row, in order of insertion. Returns the ids."""
+    out = []
+    for row in rows:
+        found = [(r["born"], n, i) for n, (i, r) in enumerate(plain.items()) if row["source_job_url"] and r["source_job_url"] == row["source_job_url"]]
+        hit = min(found)[2] if found else row["id"] if row["id"] in plain else None
+        target = hit or row["id"]
+        plain[target] = {**row, "born": plain[target]["born"] if hit else clock, "seen": clock}
+        out.append(target)
+    return out
+
+
+@pytest.mark.parametrize(("ids", "urls", "seed"), [(4, 4, 1), (30, 12, 2), (9, 40, 3), (60, 60, 4)])
+def test_ids_that_change_their_url_equal_a_replay(spark, jobs, tmp_path, ids, urls, seed):
+    import random
+
+    rng = random.Random(seed)
+    table, plain = JobTable(spark, str(tmp_path), buckets=4), {}
+    for step, clock in enumerate([T1, T2, T2]):
+        rows = []
+        for n in range(70):
+            url = rng.choice([None, "", *(f"u{rng.randrange(urls)}" for _ in range(8))])
+            rows.append({"id": f"j{rng.randrange(ids)}", "source_job_url": url, "title": f"{step}-{n}"})
+        expected = replay_plainly(plain, rows, clock)
+        kept = table.upsert(jobs(*rows), clock)
+        assert [r.id for r in kept.orderBy("pos").collect()] == expected
+        got = {r.id: (r.title, r.source_job_url, r.created_at, r.updated_at) for r in table.read().collect()}
+        assert got == {i: (r["title"], r["source_job_url"], naive(r["born"]), naive(r["seen"])) for i, r in plain.items()}
+        index = table._indexed(table._latest(), set(range(4))).collect()
+        assert sorted((r.id, r.source_job_url) for r in index) == sorted((i, r["source_job_url"]) for i, r in plain.items() if r["source_job_url"])
+
+
+def test_only_records_around_a_repointed_id_are_replayed(spark, jobs, tmp_path):
+    table = JobTable(spark, str(tmp_path))
+    table.upsert(jobs({"id": "a", "source_job_url": "v"}, {"id": "k", "source_job_url": "k"}), T1)
+    batch = jobs(
+        {"id": "a", "source_job_url": "u"}, {"id": "b", "source_job_url": "v"}, {"id": "c", "source_job_url": "u"},
+        {"id": "k2", "source_job_url": "k"}, {"id": "n"}, {"id": "m", "source_job_url": "m"},
+    ).withColumn(RECORD, F.col("pos"))
+    stored = table.read()
+    assert [r.id for r in repointed_ids(stored, batch).collect()] == ["a"]
+    moved = replayed(stored, stored, batch, F.lit(T2), table.staged)
+    assert sorted((r[RECORD], r.kept, r.fresh) for r in moved.collect()) == [(0, "a", False), (1, "b", True), (2, "a", False)]
+    assert replayed(stored, stored, batch.where("pos > 1"), F.lit(T2), table.staged) is None
+
+
+def test_groups_of_long_chains_and_stars(spark, tmp_path):
+    table = JobTable(spark, str(tmp_path))
+    chain = [(i, i + 1) for i in range(100, 140)]
+    star = [(5, 1000 + i) for i in range(300)]
+    edges = spark.createDataFrame([*chain, *star, (7, 7), (1299, 2000), (2000, 3)], "a long, b long")
+    got = {r.node: r.group for r in linked_groups(edges, table.staged).collect()}
+    assert got == {**{i: 100 for i in range(100, 141)}, **{1000 + i: 3 for i in range(300)}, 5: 3, 2000: 3, 3: 3, 7: 7}
+
+
+def test_a_small_batch_opens_few_buckets(spark, jobs, tmp_path):
+    table = JobTable(spark, str(tmp_path), buckets=32)
+    table.upsert(jobs(*({"id": f"j{i}", "source_job_url": f"u{i}"} for i in range(600))), T1)
+    latest = table._latest()
+    assert len(latest.folders) == len(latest.urls) == 32
+    batch = jobs(*({"id": f"j{i}", "source_job_url": f"u{i + 1}"} for i in range(0, 100, 10)))
+    rows, urls = table._around(latest, batch)
+    opened = {f.rsplit("/", 2)[0] + f.rsplit("/", 2)[1] for f in [*rows.inputFiles(), *urls.inputFiles()]}
+    assert len(opened) <= 20
+    ids = spark.createDataFrame([("j5",), ("nobody",), ("j5",)], "id string")
+    assert [r.id for r in table.by_ids(ids).collect()] == ["j5"] and len({f.rsplit("/", 2)[1] for f in table.by_ids(ids).inputFiles()}) <= 2
+    where = spark.createDataFrame([("u7",), (None,), ("nowhere",)], "source_job_url string")
+    assert [r.id for r in table.by_urls(where).collect()] == ["j7"]
+    assert table.by_ids(ids.limit(0)).count() == 0
+
+
+def test_a_table_from_before_the_index(spark, jobs, tmp_path):
+    table = JobTable(spark, str(tmp_path), buckets=4)
+    table.upsert(jobs({"id": "a", "source_job_url": "u"}, {"id": "b", "source_job_url": "v"}), T1)
+    old = table.commits().drop("urls").collect()
+    fields = "version bigint, folders map<int,string>, batch_id string, committed_at timestamp"
+    spark.createDataFrame([tuple(r) for r in old], fields).write.mode("overwrite").parquet(str(tmp_path / "commits"))
+    assert table._latest().urls is None
+    assert [r.id for r in table.upsert(jobs({"id": "c", "source_job_url": "u", "title": "New"}), T2).collect()] == ["a"]
+    assert by_id(table)["a"].title == "New" and table._latest().urls
+    assert [r.id for r in table.by_urls(spark.createDataFrame([("v",)], "source_job_url string")).collect()] == ["b"]
+
+
+def test_records_that_would_be_inserted(spark, jobs, tmp_path):
     stored = upsert.upgrade(jobs({"id": "a", "source_job_url": "u1"}, {"id": "b"}), T1)
     batch = jobs({"id": "a", "source_job_url": "u2"}, {"id": "b"}, {"id": "c", "source_job_url": "x"})
     assert sorted(r.id for r in upsert.new_records(stored, batch).collect()) == ["c"]
-    table = JobTable(spark, str(tmp_path))
-    with pytest.raises(ConflictingIds, match="'a'"):
-        table.upsert(jobs({"id": "a", "source_job_url": "u1"}, {"id": "a", "source_job_url": "u2"}), T1)
-    assert table.read().count() == 0
 
 
 def test_untouched_buckets_keep_their_folders(spark, jobs, tmp_path):
