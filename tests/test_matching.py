@@ -163,7 +163,23 @@ def test_rate_cap(spark, partitions):
     assert [got[e] for e in (1000, 1001, 1002, 1003)] == [True, True, False, True]
 
 
-def test_busy_key_is_split_at_pauses(spark):
-    stamps = spark.createDataFrame([("a", t, t // 10) for t in (0, 9, 18, 28, 29, 50, 59, 69)], "key string, at bigint, cell bigint")
-    rows = ratecap.quiet_stretches(stamps, 10).orderBy("cell").collect()
-    assert [(r.cell, r.stretch) for r in rows] == [(0, 1), (1, 1), (2, 2), (5, 3), (6, 4)]
+@pytest.mark.parametrize("regular", [True, False])
+def test_busy_key_spans_chunks(spark, regular):
+    """Without a pause; at regular times the speculative scans never fall in step."""
+    start = datetime(2026, 1, 1)
+    draw = np.random.default_rng(4)
+    seconds = np.arange(3000) if regular else np.sort(draw.integers(0, 40_000, 3000))
+    rows = [("hot", start + timedelta(seconds=int(s)), i) for i, s in enumerate(seconds)]
+    rows += [(None, start + timedelta(seconds=int(s)), 10_000 + i) for i, s in enumerate(draw.integers(0, 4000, 900))]
+    rows += [("same", start, 20_000 + i) for i in range(700)] + [("late", None, 30_000)]
+    events = spark.createDataFrame(rows, "k string, ts timestamp, e int").repartition(5)
+    got = {r.e: r.accepted for r in ratecap.rate_cap(events, "k", "ts", "e", 3, 60, chunk_events=400).collect()}
+    expected = {30_000: False}
+    for key in {r[0] for r in rows}:
+        mine = sorted((r[1], r[2]) for r in rows if r[0] == key and r[1])
+        expected |= dict(zip([e for _, e in mine], plain_cap([(t - start).total_seconds() for t, _ in mine], 3, 60), strict=True))
+    assert got == expected
+
+
+def test_cap_of_an_empty_table(spark):
+    assert ratecap.rate_cap(spark.createDataFrame([], "k int, ts timestamp, e int"), "k", "ts", "e", 2, 60).collect() == []
