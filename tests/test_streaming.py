@@ -75,3 +75,25 @@ def test_streaming_cap_carries_state_between_triggers(spark, tmp_path):
         query.awaitTermination(120)
         assert query.exception() is None
     assert got == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True, 7: False, 8: True, 9: True, 10: False, 11: False, 12: True, 13: True}
+
+
+def test_state_of_idle_keys_expires(spark, tmp_path):
+    source, start = tmp_path / "events", datetime(2026, 1, 1)
+    schema = "k string, ts timestamp, e int"
+    got, kept = {}, []
+    batches = [[("idle", 0, 1), ("idle", 1, 2), ("busy", 2, 3)], [("busy", 300, 4), ("idle", 290, 5)], [("busy", 2000, 6)],
+               [("idle", 1, 7), ("idle", 1990, 8), ("busy", 2001, 9), ("busy", 2002, 10)]]
+    for batch in batches:
+        spark.createDataFrame([(k, start + timedelta(seconds=s), e) for k, s, e in batch], schema).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        query = (
+            rate_cap_stream(stream, "k", "ts", "e", 2, 60, "5 minutes").writeStream.outputMode("append")
+            .foreachBatch(lambda frame, _: got.update({r.e: r.accepted for r in frame.collect()}))
+            .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination(180)
+        assert query.exception() is None
+        values = spark.read.format("statestore").option("path", str(tmp_path / "checkpoint")).option("stateVarName", "recent").load()
+        kept.append(sorted({r.key.name for r in values.collect()}))
+    assert got == {1: True, 2: True, 3: True, 4: True, 5: True, 6: True, 7: False, 8: True, 9: True, 10: False}
+    assert kept == [["busy", "idle"], ["busy", "idle"], ["busy"], ["busy", "idle"]]
