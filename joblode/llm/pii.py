@@ -1,9 +1,12 @@
 """Personal data: rules for e-mail, IP, card and phone, and a bootstrapped search for identifiers that no rule knows.
 
-Rules find the base spans. They are the seeds: the words around a seed are a lexical pattern (the two words before it,
-or the words on both sides; words are cut at white space, however far off). Other tokens with digits, of any length, are candidates. Patterns and the identifiers that stand in them
-form a graph, which Spark scores in rounds: a pattern's confidence is the known share of its identifiers, an
-identifier's is the chance that one of its reliable patterns is right. A pattern is reliable if MIN_SUPPORT different
+Rules find the base spans. They are the first seeds; tokens with the form of a key are the second (KEY: at least sixteen
+characters of letters and digits mixed, less quotes and the like around them), at a score of KEY_SCORE. The words around
+a seed are a lexical pattern (the two words before it, or the words on both sides; words are cut at white space, however
+far off); words without any letter, as in the cells of a table, are none. Other tokens with digits, of any length, are
+candidates. Patterns and the identifiers that stand in them form a graph, which Spark scores in rounds: a pattern's
+confidence is the known share of its different identifiers, an identifier's is the chance that one of its reliable
+patterns is right. So a key alone is no finding: others of its kind must stand in the same words. A pattern is reliable if MIN_SUPPORT different
 known identifiers stand in it and its confidence reaches MIN_CONFIDENCE. Rounds end when no pattern can become reliable
 any more, or when no score rises by more than SETTLED. Identifiers that reach MIN_SCORE then become spans of kind `id` wherever they stand in a reliable pattern.
 
@@ -32,6 +35,8 @@ RULES = {
 }
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+KEY = r"^[^\p{L}\p{N}]*+(?=[A-Za-z0-9_-]*[A-Za-z])(?=[A-Za-z0-9_-]*[0-9])[A-Za-z0-9_-]{16,}+[^\p{L}\p{N}]*+$"
+KEY_SCORE = 0.9
 LONG = 64
 REACHES = [80, 80 << 4, 80 << 8, 80 << 12]
 MIN_SUPPORT = 3
@@ -101,7 +106,7 @@ def scanned(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
-_WITH_CONTEXT = "array<struct<kind:string,start:int,end:int,value:string,patterns:array<string>>>"
+_WITH_CONTEXT = "array<struct<kind:string,start:int,end:int,value:string,key:boolean,patterns:array<string>>>"
 
 
 def _with_context(spans: Column) -> Column:
@@ -114,8 +119,10 @@ def _with_context(spans: Column) -> Column:
     def add(span: Column) -> Column:
         word = [span["near"][i] for i in range(3)]
         patterns = F.array(F.concat_ws(" ", F.lit("L"), word[0], word[1]), F.concat_ws(" ", F.lit("M"), word[1], word[2]))
+        patterns = F.filter(patterns, lambda p: p.rlike(r"^. .*\p{L}"))
         return F.struct(
-            span["kind"].alias("kind"), span["start"].alias("start"), span["end"].alias("end"), _short(F.lower(span["value"])).alias("value"), patterns.alias("patterns")
+            span["kind"].alias("kind"), span["start"].alias("start"), span["end"].alias("end"), _short(F.lower(span["value"])).alias("value"),
+            span["value"].rlike(KEY).alias("key"), patterns.alias("patterns"),
         )
 
     return F.transform(F.transform(spans, words), add)
@@ -156,9 +163,10 @@ def discovered(found: DataFrame) -> DataFrame:
     """Spans beyond the rules: doc_id, text_key, start, end. found: from scanned()."""
     spans = found.select("doc_id", "text_key", F.explode(F.concat("base", "more")).alias("s"))
     stands = staged(
-        spans.select("doc_id", "text_key", "s.kind", "s.start", "s.end", "s.value", F.explode("s.patterns").alias("pattern")), "pii-stands"
+        spans.select("doc_id", "text_key", "s.kind", "s.start", "s.end", "s.value", "s.key", F.explode("s.patterns").alias("pattern")), "pii-stands"
     )
-    graph = stands.groupBy("pattern", "value").agg(F.max((F.col("kind") != "id").cast("double")).alias("seed"))
+    known = F.when(F.col("kind") != "id", 1.0).when(F.col("key"), KEY_SCORE).otherwise(0.0)
+    graph = stands.groupBy("pattern", "value").agg(F.max(known).alias("seed"))
     # only patterns of enough identifiers can ever be reliable, and only their identifiers matter
     sizes = graph.groupBy("pattern").agg(F.count("*").alias("patterns_size")).where(F.col("patterns_size") >= MIN_SUPPORT)
     edges = staged(attach(graph, staged(sizes, "pii-patterns"), "pattern", "patterns_size", graph.count()).select("pattern", "value", F.col("seed").alias("score")), "pii-edges")
