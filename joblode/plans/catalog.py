@@ -20,6 +20,7 @@ from joblode.operators.ingest import ingest
 from joblode.sources.landing import payload_table, read_payloads
 from joblode.sources.payloads import checked_records, parse_payloads, quarantine
 from joblode.sources.store import JobTable
+from joblode.streaming.ingest import start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -214,6 +215,34 @@ def landing_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked_records(read_payloads(spark, root)).select("src_rank", "pos", "source_job_id", "title", "reject_reason")
 
 
+def landing_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files taken in by the stream, into the stored table."""
+    root = f"{shared_folder(spark)}/landing-{uuid4().hex}"
+    view.write_landing(spark, sf_dir, root)
+    table = JobTable(spark, f"{root}-table")
+    query = start_ingest(spark, root, table, f"{root}-checkpoint", clock=lambda: FIRST_BATCH_AT, name=f"landing-{uuid4().hex}", available_now=True)
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    return table.read().select("source", "source_job_id", "title", stamp(F.col("created_at")).alias("created_at"))
+
+
+def single_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of one source out of the landed files."""
+    root = f"{shared_folder(spark)}/landing-{uuid4().hex}"
+    view.write_landing(spark, sf_dir, root)
+    return parse_payloads(read_payloads(spark, root, only_source="remotive")).select("source", "source_job_id", "title")
+
+
+def bounds_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with the reason why they are out of bounds."""
+    some = candidates(spark, sf_dir).withColumns({
+        "skills": F.when(F.col("candidate_id") % 5 > 0, F.col("skills")).otherwise(F.array().cast("array<string>")),
+        "experience_years": F.when(F.col("candidate_id") % 7 > 0, F.col("experience_years") - 1),
+    })
+    return match.check_candidates(some).select("candidate_id", "reject_reason")
+
+
 def top_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locations where the raw text is missing for half of the jobs: city and country stand in."""
     jobs = view.jobs(spark, sf_dir)
@@ -470,6 +499,9 @@ QUERIES: dict[str, Query] = {
     "json_ingest": json_ingest,
     "ingest_search": ingest_search,
     "landing_quarantine": landing_quarantine,
+    "landing_stream": landing_stream,
+    "single_source": single_source,
+    "bounds_report": bounds_report,
     "top_places": top_places,
     "feed_places": feed_places,
     "html_cards_ingest": html_cards_ingest,

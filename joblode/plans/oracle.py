@@ -488,6 +488,12 @@ UNION ALL SELECT id, source_job_url, 'url' FROM kept WHERE source_job_url IN (SE
     "ingest_search": f"""{_INGESTED} SELECT {_HIT} FROM dated WHERE contains({_QUERY_TEXT}, 'engineer')
 AND remote_type IN ('remote', 'hybrid') ORDER BY {_SEARCH_ORDER} LIMIT 40 OFFSET 40""",
     "landing_quarantine": _LANDED,
+    "landing_stream": f"""SELECT CASE src_rank WHEN {len(lexicon.SOURCES)} THEN 'public-source' ELSE 'remotive' END AS source,
+  source_job_id, title, '2026-03-22 09:00:00' AS created_at FROM ({_LANDED}) WHERE reject_reason IS NULL""",
+    "single_source": f"""SELECT 'remotive' AS source, source_job_id, title FROM ({_LANDED})
+WHERE reject_reason IS NULL AND src_rank < {len(lexicon.SOURCES)}""",
+    "bounds_report": """SELECT c_custkey AS candidate_id, CASE WHEN c_custkey % 5 = 0 THEN 'skills_empty'
+  WHEN c_custkey % 7 = 0 OR c_custkey % 12 = 0 THEN 'experience_years_invalid' END AS reject_reason FROM customer""",
     "top_places": _top(
         "SELECT coalesce(CASE WHEN order_key % 2 = 0 THEN location_raw END, "
         "nullif(concat_ws(', ', location_city, location_country), '')) AS name, ord, 0 AS place FROM placed", 30
