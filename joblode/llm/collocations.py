@@ -39,6 +39,7 @@ from joblode.llm.parts import byte_parts
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 FILTER_BITS = 27
+FEW_LANGS = 10_000
 UNKNOWN = "und"
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 PASS_BYTES = 2_000_000
@@ -231,6 +232,8 @@ def mine(
     A phrase that lies in a longer one that occurs as often is left out.
     """
     counts, words = count_phrases(docs, text, lang, doc_id, least, longest, filter_bits)
+    if words.count() <= FEW_LANGS:  # then no language is a hot key of a join
+        words = F.broadcast(words)
     phrases = counts.where("width >= 2")
     cuts = phrases.withColumn("w", F.split("phrase", " ")).select(
         "lang", "phrase", "width", "a", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("width") - 1), lambda k: F.struct(
