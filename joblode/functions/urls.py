@@ -39,6 +39,16 @@ _ENDPOINT = r"^(\[[^\]]*\]|[^:]*)(?::(\d*))?$"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 
+# Bootstring parameters of internationalised host names (RFC 3492), fixed values.
+_TMIN, _TMAX, _SKEW, _DAMP, _START_BIAS, _START_CODE = 1, 26, 38, 700, 72, 128
+_DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
+_BASE = len(_DIGITS)
+_DIGITS_AT_MOST = 12
+_DOTS = "\u3002\uff0e\uff61"
+_INVISIBLE = "\u00ad\u200b\u2060\ufeff"
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+
+
 def _fields(**columns: Column) -> Column:
     return F.struct(*(column.alias(name) for name, column in columns.items()))
 
@@ -113,6 +123,98 @@ def _without_dot_segments(path: Column) -> Column:
     )
 
 
+def _bias(delta: Column, points: Column, first: Column) -> Column:
+    """The adapted bias after a difference; every quotient is whole."""
+    halved = F.floor(delta / F.when(first, _DAMP).otherwise(2))
+    limit = (_BASE - _TMIN) * _TMAX // 2
+    state = _fields(delta=(halved + F.floor(halved / points)).cast("long"), k=F.lit(0).cast("long"))
+
+    def shrink(now: Column, _: Column) -> Column:
+        large = now.delta > limit
+        return _fields(
+            delta=F.when(large, F.floor(now.delta / (_BASE - _TMIN))).otherwise(now.delta).cast("long"),
+            k=F.when(large, now.k + _BASE).otherwise(now.k).cast("long"),
+        )
+
+    def finish(now: Column) -> Column:
+        return now.k + F.floor((_BASE - _TMIN + 1) * now.delta / (now.delta + _SKEW))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_DIGITS_AT_MOST)), state, shrink, finish)
+
+
+def _variable_length(delta: Column, bias: Column) -> Column:
+    """A difference as digits, the least significant one first."""
+
+    def digit(value: Column) -> Column:
+        return F.substr(F.lit(_DIGITS), value.cast("int") + 1, F.lit(1))
+
+    def step(now: Column, place: Column) -> Column:
+        limit = F.least(F.greatest(place * _BASE - now.bias, F.lit(_TMIN)), F.lit(_TMAX)).cast("long")
+        last = now.rest < limit
+        lower = limit + F.pmod(now.rest - limit, _BASE - limit)
+        return F.when(now.done, now).otherwise(_fields(
+            rest=F.floor((now.rest - limit) / (_BASE - limit)).cast("long"),
+            bias=now.bias,
+            text=F.concat(now.text, digit(F.when(last, now.rest).otherwise(lower))),
+            done=last,
+        ))
+
+    start = _fields(rest=delta.cast("long"), bias=bias.cast("long"), text=F.lit(""), done=F.lit(False))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_DIGITS_AT_MOST)), start, step, lambda now: now.text)
+
+
+def punycode(label: Column) -> Column:
+    """The Bootstring form of a label without its prefix.
+
+    Inserted characters go by code point, then place. A difference between two of them follows from their code points
+    and from how many smaller or equal characters stand before them, and the bias of each from the difference before
+    it, so all differences are found side by side.
+    """
+
+    def coded(chars: Column) -> Column:
+        basic = F.filter(chars, lambda c: c.code < _START_CODE)
+        extra = F.array_sort(F.filter(chars, lambda c: c.code >= _START_CODE))
+
+        def placed(char: Column, rank: Column) -> Column:
+            before = F.size(F.filter(chars, lambda c: (c.at < char.at) & (c.code <= char.code)))
+            return _fields(code=char.code.cast("long"), at=before.cast("long"), points=(F.size(basic) + rank + 1).cast("long"))
+
+        return bind(F.transform(extra, placed), lambda marks: bind(differences(marks), lambda deltas: F.concat(
+            F.array_join(F.transform(basic, lambda c: c.text), ""), F.when(F.size(basic) > 0, "-").otherwise(""),
+            F.array_join(F.transform(deltas, lambda d, rank: _variable_length(
+                d.delta,
+                F.when(rank == 0, F.lit(_START_BIAS)).otherwise(
+                    bind(F.get(deltas, rank - 1), lambda p: _bias(p.delta, p.points, rank == 1))
+                ),
+            )), ""),
+        )))
+
+    def differences(marks: Column) -> Column:
+        def one(mark: Column, rank: Column) -> Column:
+            previous = F.get(marks, rank - 1)
+            code = F.when(rank == 0, F.lit(_START_CODE)).otherwise(previous.code)
+            at = F.when(rank == 0, F.lit(0)).otherwise(previous.at + 1)
+            return _fields(delta=(mark.code - code) * mark.points + mark.at - at, points=mark.points)
+
+        return F.transform(marks, one)
+
+    def character(at: Column) -> Column:
+        return bind(F.substr(label, at, F.lit(1)), lambda c: _fields(code=F.ascii(c), at=at, text=c))
+
+    return bind(F.transform(F.sequence(F.lit(1), F.length(label)), character), coded)
+
+
+def ascii_host(host: Column) -> Column:
+    """A lower-case host in ASCII: labels with other characters become punycode behind "xn--".
+
+    Full-width forms and ideographic full stops count as their ASCII counterparts, invisible joiners are left out.
+    """
+    plain = F.translate(F.translate(host, _DOTS + _WIDE, "..." + "".join(map(chr, range(0x21, 0x7F)))), _INVISIBLE, "")
+    label = lambda part: F.when(F.octet_length(part) == F.length(part), part).otherwise(F.concat(F.lit("xn--"), punycode(part)))
+    converted = F.array_join(F.transform(F.split(F.lower(plain), r"\."), label), ".")
+    return F.when(F.octet_length(host) == F.length(host), host).otherwise(converted)
+
+
 def _assemble_web_address(part: Column) -> Column:
     port = F.nullif(part.port, F.lit("")).try_cast("int")
     default = F.when(part.scheme == "http", 80).otherwise(443)
@@ -142,7 +244,7 @@ def _dissect_web_address(text: Column) -> Column:
         return bind(endpoint, lambda end: bind(_fields(
             scheme=F.lower(pieces[0]),
             user=F.substr(pieces[1], F.lit(1), F.length(pieces[1]) - F.length(end)),
-            host=F.lower(F.regexp_extract(end, _ENDPOINT, 1)),
+            host=ascii_host(F.lower(F.regexp_extract(end, _ENDPOINT, 1))),
             port=F.regexp_extract(end, _ENDPOINT, 2),
             path=pieces[2],
             query=pieces[3],
@@ -158,9 +260,9 @@ def valid_http_url(url: Column) -> Column:
     """Validated and normalized http(s) URL, NULL when malformed.
 
     Follows the public URL standard for web schemes: scheme and host lowered, default port dropped, an
-    empty path becomes "/", dot segments resolved, unsafe characters percent-encoded. Two limits: hosts
-    with non-ASCII letters are lowered but not converted to punycode, and IPv4 hosts are accepted only
-    in the usual four-part decimal form.
+    empty path becomes "/", dot segments resolved, unsafe characters percent-encoded, hosts with other than
+    ASCII letters as punycode. Two limits: combining marks in a host are not composed first, and IPv4 hosts
+    are accepted only in the usual four-part decimal form.
     """
     plain = url.rlike(_NORMALIZED) & (F.length(url) <= lexicon.MAX_URL_LENGTH)
     return F.when(plain, url).otherwise(bind(clean(url), _dissect_web_address))

@@ -14,6 +14,7 @@ from joblode.functions import markup, text, times, urls
 from joblode.functions import variants as V
 from joblode.operators import dedupe, insights, match, ratecap, responses, search, upsert
 from joblode.plans import listing_view as view
+from joblode.operators.normalize import normalize_listings
 from joblode.schemas import JOB, ORDER_COLUMNS
 from joblode.session import shared_folder
 from joblode.operators.ingest import ingest
@@ -65,6 +66,16 @@ def norm_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.jobs(spark, sf_dir).select("pos", "id", "source", "source_job_id", "source_job_url")
 
 
+def norm_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs whose hosts hold letters of several scripts, and the ids behind them."""
+    letters, key = F.lit(view.HOST_LETTERS), F.col("payload_id")
+    size = len(view.HOST_LETTERS)
+    label = F.substr(letters, (key % size + 1).cast("int"), (F.floor(key / size) % 9 + 1).cast("int"))
+    place = F.concat(F.lit("HTTPS://"), label, F.lit(".Example.com/p/"), F.col("pos"))
+    rows = view.raw_listings(spark, sf_dir).withColumns({"source_job_url": place, "source_job_id": F.col("pos")})
+    return normalize_listings(rows, view.AS_OF).select("pos", "id", "source_job_url")
+
+
 def norm_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.jobs(spark, sf_dir).select("pos", stamp(F.col("posted_at")).alias("posted_at"), "freshness_days")
 
@@ -471,6 +482,7 @@ QUERIES: dict[str, Query] = {
     "norm_classify": norm_classify,
     "norm_skills": norm_skills,
     "norm_ids": norm_ids,
+    "norm_hosts": norm_hosts,
     "norm_time": norm_time,
     "document_text": document_text,
     "page_urls": page_urls,

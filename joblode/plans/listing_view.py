@@ -12,6 +12,8 @@ from joblode.operators.normalize import normalize_listings
 
 AS_OF = date(2026, 3, 22)
 
+HOST_LETTERS = "m\u00fc\u00e7\u0131\u011f\u015f\u00f6a1\u00e4\u00df\u00f1\u00e9\u4e2d\u56fdb\u65e5\u672c\u043f\u0440\u0438\u0432\u0435\u0442c2\u6771\u4eac"
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",

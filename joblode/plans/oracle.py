@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from joblode import lexicon
-from joblode.plans.listing_view import LISTING_SQL
+from joblode.plans.listing_view import HOST_LETTERS, LISTING_SQL
 
 AS_OF = "DATE '2026-03-22'"
 
@@ -334,9 +334,38 @@ _GAP = f"""
 , {_CANDIDATES},
 demand AS (SELECT lower(normalized_title) AS target, skill, count(*) AS jobs
   FROM (SELECT normalized_title, unnest(skills) AS skill FROM dated) GROUP BY 1, 2),
-gap AS (SELECT candidate_id AS request_id, skill, jobs FROM candidates JOIN demand USING (target)
+wished AS (SELECT target, skill, CAST(sum(jobs) AS BIGINT) AS jobs
+  FROM (SELECT DISTINCT target FROM candidates) t JOIN (SELECT target AS title, skill, jobs FROM demand) d ON contains(title, target) GROUP BY 1, 2),
+gap AS (SELECT candidate_id AS request_id, skill, jobs FROM candidates JOIN wished USING (target)
   WHERE NOT list_contains(known, skill))"""
 
+#: RFC 3492: one row for each inserted character, its difference, its bias and its digits.
+_HOSTS = f"""WITH RECURSIVE lv AS ({LISTING_SQL}),
+named AS (SELECT seq, source, substr('{HOST_LETTERS}', order_key % {len(HOST_LETTERS)} + 1, 1 + (order_key // {len(HOST_LETTERS)}) % 9) AS label FROM lv),
+chars AS (SELECT label, nth, substr(label, nth, 1) AS c, unicode(substr(label, nth, 1))::BIGINT AS code
+  FROM (SELECT DISTINCT label, unnest(range(1, length(label) + 1)) AS nth FROM named)),
+plain AS (SELECT label, count(*) FILTER (code < 128) AS basics, coalesce(string_agg(c, '' ORDER BY nth) FILTER (code < 128), '') AS kept FROM chars GROUP BY label),
+inserted AS (SELECT c.label, c.code, row_number() OVER (PARTITION BY c.label ORDER BY c.code, c.nth) AS r,
+    (SELECT count(*) FROM chars o WHERE o.label = c.label AND o.nth < c.nth AND o.code <= c.code) AS spot
+  FROM chars c WHERE c.code >= 128),
+skips AS (SELECT label, r, basics + r AS points,
+    (code - lag(code, 1, 128) OVER w) * (basics + r) + spot - lag(spot + 1, 1, 0) OVER w AS delta
+  FROM inserted JOIN plain USING (label) WINDOW w AS (PARTITION BY label ORDER BY r)),
+halved AS (SELECT *, CASE WHEN r = 1 THEN delta // 700 ELSE delta // 2 END AS x FROM skips),
+adapted AS (SELECT label, r, x + x // points AS d, 0 AS k FROM halved
+  UNION ALL SELECT label, r, d // 35, k + 36 FROM adapted WHERE d > 455),
+biased AS (SELECT label, r, delta, lag(k + 36 * d // (d + 38), 1, 72) OVER (PARTITION BY label ORDER BY r) AS bias
+  FROM adapted JOIN skips USING (label, r) WHERE d <= 455),
+digits AS (SELECT label, r, delta AS q, 36 AS k, bias, '' AS said, false AS done FROM biased
+  UNION ALL
+  SELECT label, r, CASE WHEN q < t THEN q ELSE (q - t) // (36 - t) END, k + 36, bias,
+    said || substr('abcdefghijklmnopqrstuvwxyz0123456789', (CASE WHEN q < t THEN q ELSE t + (q - t) % (36 - t) END + 1)::INTEGER, 1), q < t
+  FROM (SELECT *, least(greatest(k - bias, 1), 26) AS t FROM digits WHERE NOT done)),
+hosts AS (SELECT label, kept || CASE WHEN basics > 0 THEN '-' ELSE '' END || string_agg(said, '' ORDER BY r) AS coded
+  FROM digits JOIN plain USING (label) WHERE done GROUP BY label, kept, basics),
+urls AS (SELECT seq, source, 'https://' || coalesce('xn--' || coded, label) || '.example.com/p/' || seq AS url FROM named LEFT JOIN hosts USING (label))
+SELECT seq AS pos, substr(sha256(source || ':' || seq || ':' || url), 1, 24) AS id, url AS source_job_url FROM urls"""
+
 _RANKED = _jobs(f"""
 , lists AS (SELECT order_key AS list_id, list(id ORDER BY pos) AS ids FROM dated GROUP BY order_key),
 listed AS (SELECT list_id, unnest(ids) AS id, unnest(range(len(ids))) AS spot FROM lists),
@@ -422,6 +451,7 @@ ORACLE: dict[str, str] = {
     "norm_classify": _jobs("SELECT pos, remote_type, employment_type, seniority_level FROM dated"),
     "norm_skills": _jobs(f"SELECT pos, {_SKILLS} AS skills FROM dated"),
     "norm_ids": _jobs("SELECT pos, id, source, source_job_id, source_job_url FROM dated"),
+    "norm_hosts": _HOSTS,
     "norm_time": _jobs(f"SELECT pos, {_stamp('posted_at')} AS posted_at, freshness_days FROM dated"),
     "document_text": f"""WITH cleaned AS (SELECT doc_id, {_clean('text')} AS t FROM documents)
 SELECT doc_id, md5(t) AS cleaned_md5,

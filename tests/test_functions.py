@@ -1,3 +1,4 @@
+import random
 import re
 from datetime import datetime, timezone
 
@@ -159,6 +160,8 @@ def test_valid_url_agrees_with_the_validation_library(spark):
         "not-a-url", "ftp://x/y", "https://", "https://user:pw@h.com/p", "https://h/p%20q/ü?x='1'#<f>", "http:/foo/bar",
         "https:example.com", "https://h/a\\b", "https://1.2.3.4/x", "https://[::1]:80/x", "https://h:99999/", "https://h:/x",
         "https://a b.com/", "https://h.com/" + "x" * 2100, "https://h?x=1", "https://h#f", "https://h/{a}|b", "https://h/..",
+        "https://M\u00fcnchen.de/a", "http://b\u00fccher.example:80/\u00fc", "https://\u4e2d\u56fd.\u4e2d\u56fd/", "https://stra\u00dfe.de/x", "https://u@\u0131\u015f\u0131k.com.tr",
+        "https://\u043f\u0440\u0438\u0432\u0435\u0442.\u0440\u0444:8443/?q", "https://\uff4a\uff4f\uff42\uff53\u3002example/", "https://a\u00adb.com/", "https://\u015eEH\u0130R.example/",
         "javascript:alert(1)", "https://h_x.com/", "https://H.COM./p", "https://example.com/a.html?b=c.d#e", "https://h/%2e%2e/x",
     ]
     expected = []
@@ -171,6 +174,15 @@ def test_valid_url_agrees_with_the_validation_library(spark):
     assert {s: g for s, g in zip(samples, got)} == {s: e for s, e in zip(samples, expected)}
 
 
+def test_punycode_agrees_with_the_codec(spark):
+    rng = random.Random(5)
+    alphabet = "abcxyz019-\u00e4\u00fc\u00df\u0131\u015f\u011f\u4e2d\u56fd\u65e5\u672c\u043f\u0440\u0438\u0432\u0435\u0442\u05d0\u3042\U0001f600\U0010ffff"
+    labels = ["".join(rng.choices(alphabet, k=rng.randint(1, 60))) for _ in range(300)]
+    labels += ["\u00fc", "\u00fc" * 250, "a" * 200 + "\U0010ffff", "\U0010ffff" * 3 + "\u0080", "\u4e2d" + "-" * 9]
+    labels = [label for label in labels if not label.isascii()]
+    assert values(spark, urls.punycode, labels) == [label.encode("punycode").decode() for label in labels]
+
+
 def _python_posted(raw):
     cleaned = " ".join(raw.split())
     if not cleaned:

@@ -1,4 +1,5 @@
 import json
+import random
 from collections import deque
 from datetime import datetime, timedelta
 
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from joblode.operators import match, ratecap, responses
+from joblode.operators import containing, match, ratecap, responses
 from joblode.schemas import CANDIDATES
 
 JOBS = (
@@ -74,6 +75,31 @@ def test_match_candidates(spark, jobs):
     assert {r.candidate_id: r.reject_reason for r in bad} == {4: "skills_empty", 5: "experience_years_invalid"}
 
 
+def test_containing_equals_the_nested_loop(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab c\u0131", k=rng.randint(0, 12))) for _ in range(200)] + ["", "aa", "aa", None, "x" * 3000 + "y"]
+    needles = ["".join(rng.choices("ab c\u0131", k=rng.randint(0, 6))) for _ in range(150)] + ["", None, "xy", "a", "zzz", "a" * 40, "a", "x" * 2000]
+    got = containing.containing(
+        spark.createDataFrame([(n,) for n in needles], "needle string"), spark.createDataFrame([(t,) for t in texts], "text string")
+    )
+    want = {(n, t) for n in needles for t in texts if n and t is not None and n in t}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    none = containing.containing(spark.createDataFrame([], "needle string"), spark.createDataFrame([], "text string"))
+    assert none.collect() == []
+
+
+def test_skills_gap_looks_inside_titles(spark, jobs):
+    more = jobs.unionByName(jobs.filter("id = 'j1'").withColumns({"id": F.lit("j5"), "normalized_title": F.lit("Lead Python Developer"), "skills": F.array(F.lit("rust"))}))
+    asked = [(1, ["sql"], "python dev"), (2, ["go"], "Dev"), (3, ["go"], "Nothing"), (4, ["go"], " "), (5, [], "dev"), (6, ["go"], None)]
+    requests = spark.createDataFrame(asked, "request_id int, current_skills array<string>, target_job_title string")
+    gap = sorted((r.request_id, r.skill, r.jobs) for r in match.skills_gap(requests, more).collect())
+    both = [("docker", 1), ("python", 2), ("rust", 1)]
+    assert gap == [(1, *x) for x in both] + [(2, *x) for x in both] + [(2, "sql", 1)]
+
+
 def test_skills_gap(spark, jobs):
     requests = spark.createDataFrame(
         [(1, ["SQL"], "Senior python dev"), (2, ["python"], "Astronaut"), (3, [], "Ops"), (4, ["x"], " ")],
