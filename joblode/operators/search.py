@@ -48,11 +48,14 @@ def check_member(name: str, value: str | None, allowed: list[str]) -> None:
         raise ValueError(f"{name} must be one of {', '.join(allowed)}")
 
 
+def _free_text() -> Column:
+    fields = [F.col(name) for name in ("title", "normalized_title", "company", "description_snippet")]
+    return F.lower(join_present(" ", *fields, F.array_join("skills", " ")))
+
+
 def query_matches(q: str) -> Column:
     """Literal, case-insensitive substring of the joined text fields; a hit may span two fields."""
-    fields = [F.col(name) for name in ("title", "normalized_title", "company", "description_snippet")]
-    text = join_present(" ", *fields, F.array_join("skills", " "))
-    return F.lower(text).contains(q.lower())
+    return _free_text().contains(q.lower())
 
 
 def _place_text() -> Column:
@@ -72,6 +75,24 @@ def country_matches(country: str, turkey_markers: list[str] = lexicon.TURKEY_MAR
     return any_of([padded.contains(marker) for marker in turkey_markers])
 
 
+def searched_texts() -> dict[str, Column]:
+    """The texts in which needles are looked up, each under a mark."""
+    return {"t": _free_text(), "p": _place_text()}
+
+
+def needles(spec: SearchSpec) -> list[tuple[str, str]]:
+    """(mark, needle): substrings that every hit holds. The markers of Turkey are alternatives and give none."""
+    found = [("t", spec.q or ""), ("p", spec.location or "")]
+    if spec.country and spec.country.strip().lower() != "tr":
+        found.append(("p", spec.country.strip()))
+    return [(mark, needle.lower()) for mark, needle in found if needle]
+
+
+def has_tests(spec: SearchSpec) -> bool:
+    """Whether a search filters at all."""
+    return any(value not in (None, "") for value in (spec.q, spec.country, spec.location, spec.remote, spec.employment_type, spec.seniority))
+
+
 def remote_matches(remote: bool) -> Column:
     """Remote and hybrid count as remote; unknown matches neither way."""
     return F.col("remote_type").isin("remote", "hybrid") if remote else F.col("remote_type") == "onsite"

@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 
 from joblode.functions import markup, text, times, urls
 from joblode.functions import variants as V
-from joblode.operators import dedupe, insights, match, ratecap, responses, search, upsert
+from joblode.operators import dedupe, insights, match, overlap, ratecap, responses, search, upsert
 from joblode.plans import listing_view as view
 from joblode.operators.normalize import normalize_listings
 from joblode.schemas import JOB, ORDER_COLUMNS
 from joblode.session import shared_folder
 from joblode.operators.ingest import ingest
+from joblode.sources.derived import GRAMS, NAMES
 from joblode.sources.landing import payload_table, read_payloads
 from joblode.sources.payloads import checked_records, parse_payloads, quarantine
+from joblode.sources.ranges import SortedJobs
 from joblode.sources.store import JobTable
 from joblode.streaming.ingest import start_ingest
 
@@ -36,6 +38,9 @@ SEARCH_FILTERED = search.SearchSpec(
 SEARCH_COUNTRY = search.SearchSpec(country="TR", seniority="lead", limit=50, page=2)
 SEARCH_LOCATION = search.SearchSpec(location="europe", remote=False, limit=50)
 SEARCH_PAGE = search.SearchSpec(limit=50, page=3)
+SEARCH_DEEP = search.SearchSpec(limit=5, page=10_000)
+SEARCH_DEEP_FILTERED = search.SearchSpec(remote=True, q="engineer", limit=7, page=900)
+SEARCH_STORED = search.SearchSpec(q="kubernetes", location="asia", limit=50, page=2)
 SEARCH_INGESTED = search.SearchSpec(q="engineer", remote=True, limit=40, page=2)
 SEARCH_META = search.SearchSpec(q="java", country="a", limit=7, page=2)
 
@@ -152,14 +157,14 @@ def lookup_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.jobs_by_id(jobs, ids).select(*_HIT)
 
 
-def _first_half(spark: SparkSession, sf_dir: str) -> JobTable:
-    table = JobTable(spark, f"{shared_folder(spark)}/jobs-{uuid4().hex}")
+def _first_half(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> JobTable:
+    table = JobTable(spark, f"{shared_folder(spark)}/jobs-{uuid4().hex}", keep=keep)
     table.upsert(view.jobs(spark, sf_dir, "payload_id % 2 = 0"), FIRST_BATCH_AT, "even")
     return table
 
 
-def _merged_table(spark: SparkSession, sf_dir: str) -> JobTable:
-    table = _first_half(spark, sf_dir)
+def _merged_table(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> JobTable:
+    table = _first_half(spark, sf_dir, keep)
     table.upsert(view.jobs(spark, sf_dir, "payload_id % 2 = 1"), SECOND_BATCH_AT, "odd")
     return table
 
@@ -195,6 +200,38 @@ def stored_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, (rows.select("id", "source_job_url", F.lit(way).alias("way")) for way, rows in found.items()))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+
+
+def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of the stored table through its postings."""
+    return _merged_table(spark, sf_dir, (GRAMS,)).search(SEARCH_STORED).select(*_HIT)
+
+
+def kept_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insights out of the counts that merges keep."""
+    table = _merged_table(spark, sf_dir, (NAMES,))
+    found = {name: table.top(name, 15) for name in insights.DIMENSIONS}
+    return reduce(DataFrame.unionByName, (rows.withColumn("dimension", F.lit(name)) for name, rows in found.items()))
+
+
+def _deep_page(spec: search.SearchSpec) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ranges = SortedJobs(spark, _folder(spark, "ranges")).build(view.jobs(spark, sf_dir))
+        return ranges.page(spec).select(*_HIT)
+
+    return query
+
+
+def match_all_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of all jobs for each candidate."""
+    path = _folder(spark, "all-jobs")
+    columns = ["id", "skills", "remote_type", "location_raw", "freshness_days", "title", *ORDER_COLUMNS]
+    view.jobs(spark, sf_dir).select(*columns).write.parquet(path)
+    return overlap.match_all(candidates(spark, sf_dir), spark.read.parquet(path), order_columns=ORDER_COLUMNS)
+
+
 def list_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stored job."""
     return search.list_jobs(_merged_table(spark, sf_dir).jobs()).select("id", "title", "company", "freshness_days")
@@ -493,6 +530,8 @@ QUERIES: dict[str, Query] = {
     "search_country_tr": _search(SEARCH_COUNTRY),
     "search_location": _search(SEARCH_LOCATION),
     "search_page3": _search(SEARCH_PAGE),
+    "search_page10000": _deep_page(SEARCH_DEEP),
+    "search_deep_filtered": _deep_page(SEARCH_DEEP_FILTERED),
     "search_meta": search_meta,
     "recent_jobs": recent_jobs,
     "top_skills": top_skills,
@@ -503,6 +542,8 @@ QUERIES: dict[str, Query] = {
     "upsert_two_batches": upsert_two_batches,
     "upsert_repointed": upsert_repointed,
     "stored_lookup": stored_lookup,
+    "stored_search": stored_search,
+    "kept_insights": kept_insights,
     "list_jobs": list_jobs,
     "stored_insights": stored_insights,
     "insert_branch": insert_branch,
@@ -525,6 +566,7 @@ QUERIES: dict[str, Query] = {
     "ranked_list_resolve": ranked_list_resolve,
     "response_matches": response_matches,
     "candidate_match": candidate_match,
+    "match_all_jobs": match_all_jobs,
     "match_records": match_records,
     "skills_gap": skills_gap,
     "missing_skills": missing_skills,

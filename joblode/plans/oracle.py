@@ -326,6 +326,8 @@ _MATCH = _jobs(f"""{_MATCHED}
 SELECT candidate_id, CAST(r AS INTEGER) AS "rank", CAST(greatest(100 - 10 * r, 10) AS INTEGER) AS match_score,
   id AS job_id, shared_skills FROM ranked WHERE r < 5""")
 
+_MATCH_ALL = _MATCH.replace("QUALIFY place <= 100", "")
+
 _MATCH_RECORDS = _jobs(f"""{_MATCHED}
 SELECT candidate_id, CAST(r AS INTEGER) AS "rank", CAST(greatest(100 - 10 * r, 10) AS INTEGER) AS match_score,
   id, title, company FROM ranked JOIN pool USING (id, place) WHERE r < 5""")
@@ -444,6 +446,14 @@ UNION ALL SELECT event_id, 1, 'record_not_object' FROM events WHERE event_type =
 UNION ALL SELECT event_id, 2, 'no_usable_content' FROM events WHERE event_type = 'click'
 UNION ALL SELECT event_id, NULL, 'payload_not_json' FROM events WHERE event_type NOT IN ('error', 'click') AND event_id % 6 > 0"""
 
+_STORED_INSIGHTS = _jobs(_MERGED + " " + " UNION ALL ".join(
+        _counted(named, 15, f", '{name}' AS dimension") for name, named in {
+            "skills": "SELECT unnest(skill_list) AS name, ord, unnest(range(len(skill_list))) AS place FROM kept",
+            "companies": "SELECT company AS name, ord, 0 AS place FROM kept",
+            "locations": "SELECT location_raw AS name, ord, 0 AS place FROM kept",
+        }.items()
+    ))
+
 ORACLE: dict[str, str] = {
     "norm_text_fields": _jobs(
         "SELECT pos, language, normalized_title, location_city, location_country, description_snippet FROM dated"
@@ -473,6 +483,8 @@ QUALIFY row_number() OVER (PARTITION BY {_canonical('url')} ORDER BY page_id) =
     ),
     "search_country_tr": _search(f"({_TURKEY}) AND seniority_level = 'lead'", 50),
     "search_location": _search(f"contains({_WHERE_TEXT}, 'europe') AND remote_type = 'onsite'", 0),
+    "search_page10000": _search("TRUE", 49_995, 5),
+    "search_deep_filtered": _search(f"contains({_QUERY_TEXT}, 'engineer') AND remote_type IN ('remote', 'hybrid')", 899 * 7, 7),
     "search_page3": _search("TRUE", 100),
     "search_meta": _jobs(
         'SELECT 2 AS page, 7 AS "limit", CAST(greatest(ceil(count(*) / 7.0), 1) AS BIGINT) AS total_pages, '
@@ -503,13 +515,13 @@ QUALIFY row_number() OVER (PARTITION BY {_canonical('url')} ORDER BY page_id) =
 SELECT id, source_job_url, 'id' AS way FROM kept WHERE id IN (SELECT id FROM wanted)
 UNION ALL SELECT id, source_job_url, 'url' FROM kept WHERE source_job_url IN (SELECT source_job_url FROM wanted)"""),
     "list_jobs": _jobs(f"{_MERGED} SELECT id, title, company, freshness_days FROM kept"),
-    "stored_insights": _jobs(_MERGED + " " + " UNION ALL ".join(
-        _counted(named, 15, f", '{name}' AS dimension") for name, named in {
-            "skills": "SELECT unnest(skill_list) AS name, ord, unnest(range(len(skill_list))) AS place FROM kept",
-            "companies": "SELECT company AS name, ord, 0 AS place FROM kept",
-            "locations": "SELECT location_raw AS name, ord, 0 AS place FROM kept",
-        }.items()
-    )),
+    "stored_search": _jobs(f"""{_MERGED},
+newest AS (SELECT * REPLACE (first_value(id) OVER (PARTITION BY ident ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS id),
+    min(arrival) OVER (PARTITION BY ident) AS born FROM arrived QUALIFY row_number() OVER (PARTITION BY ident ORDER BY arrival DESC) = 1)
+SELECT {_HIT} FROM newest WHERE contains({_QUERY_TEXT}, 'kubernetes') AND contains({_WHERE_TEXT}, 'asia')
+ORDER BY freshness_days ASC NULLS LAST, lower(coalesce(title, '')), born LIMIT 50 OFFSET 50"""),
+    "kept_insights": _STORED_INSIGHTS,
+    "stored_insights": _STORED_INSIGHTS,
     "insert_branch": _jobs(
         "SELECT pos, id FROM dated WHERE order_key % 2 = 1 AND id NOT IN (SELECT id FROM dated WHERE order_key % 2 = 0) AND "
         "NOT EXISTS (FROM jobs o WHERE o.order_key % 2 = 0 AND o.source_job_url = dated.source_job_url)"
@@ -543,6 +555,7 @@ WHERE reject_reason IS NULL AND src_rank < {len(lexicon.SOURCES)}""",
         "WHERE r < 5", "WHERE r < 5 AND list_id % 5 > 0"
     ),
     "candidate_match": _MATCH,
+    "match_all_jobs": _MATCH_ALL,
     "match_records": _MATCH_RECORDS,
     "skills_gap": _jobs(_GAP + " SELECT request_id, skill, jobs FROM gap"),
     "missing_skills": _jobs(
