@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joblode.llm.common import attach, staged
+from joblode.llm.common import attach, components, staged
 
 BLOCK = 256
 SHARD_ROWS = 1024
@@ -27,7 +27,7 @@ Judge = Callable[[pd.DataFrame], Callable[[np.ndarray, np.ndarray, np.ndarray],
 def links(items: DataFrame, payload: DataFrame, judge: Judge) -> DataFrame:
     """Rows (a, b, n): with b, an edge of the forest; without b, n more links of a.
 
-    items: id long, n long (rows it stands for), hashes array<long>. payload: id and whatever the judge reads.
+    items: id long (of one row each, see numbered()), n long (rows it stands for), hashes array<long>. payload: id and whatever the judge reads.
     """
     members = items.select("id", F.posexplode("hashes").alias("t", "h")).select(
         "id", "t", F.xxhash64("t", "h").alias("bucket")
@@ -53,6 +53,21 @@ def links(items: DataFrame, payload: DataFrame, judge: Judge) -> DataFrame:
     return rows.groupBy("shard").applyInPandas(lambda frame: _judged(frame, judge), "a long, b long, n long")
 
 
+def numbered(items: DataFrame, what: str) -> DataFrame:
+    """items, written with a number of their own as id."""
+    return staged(items.withColumn("id", F.monotonically_increasing_id()), what)
+
+
+def smallest_ids(items: DataFrame, found: DataFrame) -> DataFrame:
+    """items(id, own_id, ...) with `smallest`: the smallest own_id of the rows that links lead to, itself included."""
+    parts = components(found.where("b is not null")).withColumnRenamed("node", "id")
+    linked = staged(items.join(parts, "id"), "linked").select(*items.columns, "component")
+    least = linked.groupBy("component").agg(F.min("own_id").alias("smallest"), F.count("*").alias("members"))
+    inside = attach(linked, staged(least, "smallest"), "component", "members", linked.count())
+    alone = items.join(parts.select("id"), "id", "left_anti").withColumn("smallest", F.col("own_id"))
+    return inside.select(*items.columns, "smallest").unionByName(alone)
+
+
 def candidates(items: DataFrame) -> DataFrame:
     """Ids of items that share a bucket with another one.
 

@@ -6,7 +6,8 @@ unrelated vectors rarely meet, as long as MAX_TABLES tables do; the number of ta
 probability of MISS at most. Every pair that meets is held against the cosine in double precision, once.
 
 Equal vectors are one item with a count. Vectors that are null, empty, zero or hold null or non-finite components link
-with nothing; so do rows with a null id (component_id null). Vectors of different length never link.
+with nothing; so do rows with a null id (component_id null). Vectors of different length never link. Rows that repeat
+an id with other vectors are rows of their own that share their id.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joblode.llm.buckets import links
-from joblode.llm.common import attach, components, quoted, staged
+from joblode.llm.buckets import links, numbered, smallest_ids
+from joblode.llm.common import attach, quoted, staged
 
 WIDTH = 2.0
 MISS = 1e-3
@@ -111,17 +112,17 @@ def find_near(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id
     hashed = staged(rows.mapInArrow(project, "vec_id long, key binary, unit binary, hashes array<long>"), "vectors")
     good = hashed.where("key is not null and vec_id is not null")
     groups = good.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
-    items = staged(
+    # a row of items is a vector with its smallest id; ids may repeat, so items have numbers of their own
+    items = numbered(
         good.join(groups.select(F.col("id").alias("vec_id"), "key", "n"), ["vec_id", "key"])
-        .dropDuplicates(["vec_id", "key"]).select(F.col("vec_id").alias("id"), "key", "n", "unit", "hashes"),
+        .dropDuplicates(["vec_id", "key"]).select(F.col("vec_id").alias("own_id"), "key", "n", "unit", "hashes"),
         "items",
     )
     found = staged(links(items, items.select("id", "unit"), _judge(threshold)), "links")
     degree = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("more"))
-    parts = components(found.where("b is not null")).withColumnRenamed("node", "id")
     known = staged(
-        items.select("id", "key", "n").join(degree, "id", "left").join(parts, "id", "left")
-        .select("key", "n", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")),
+        smallest_ids(items.select("id", "own_id", "key", "n"), found).join(degree, "id", "left")
+        .select("key", "n", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.col("smallest").alias("component_id")),
         "classes",
     )
     linked = attach(good.select("vec_id", "key"), known, "key", "n", hashed.count()).select(

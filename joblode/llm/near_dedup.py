@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joblode.llm.bpe import BATCH_CHARS, by_size
-from joblode.llm.buckets import candidates, links
-from joblode.llm.common import attach, components, fresh, quoted, staged, with_columns_of
+from joblode.llm.buckets import candidates, links, numbered, smallest_ids
+from joblode.llm.common import attach, fresh, quoted, staged, with_columns_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -173,7 +173,8 @@ def _judge(threshold: float, width: int):
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, width: int = WORDS) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the smallest doc_id of the class), kept, copies (rows with equal words)."""
-    rows = docs.select(quoted(doc_id).cast("long").alias("id"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(quoted(doc_id).cast("long").alias("own_id"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,29 +190,39 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
                 short = (mix(found) >> np.uint64(32)).astype(np.uint32)
                 whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * REGISTERS), len(texts), [None, pa.py_buffer(short.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(keys, pa.binary()), hashes, whole.cast(pa.binary())],
-                    names=["id", "key", "hashes", "signature"],
+                    [part.column("own_id"), part.column("text_hash"), pa.array(keys, pa.binary()), hashes, whole.cast(pa.binary())],
+                    names=["own_id", "text_hash", "key", "hashes", "signature"],
                 )
 
-    signed = staged(rows.mapInArrow(sign, "id long, key binary, hashes array<long>, signature binary"), "signatures")
-    groups = staged(
-        signed.where("id is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n")), "groups"
-    )
-    items = staged(signed.join(groups, ["id", "key"]).dropDuplicates(["id", "key"]), "items")
-    met = staged(candidates(items), "candidates")
-    texts = rows.join(met, "id", "left_semi").dropDuplicates(["id", "text"])
-    found = staged(links(items.join(met, "id", "left_semi"), items.select("id", "signature").join(texts, "id"), _judge(threshold, width)), "links")
-    parts = components(found.where("b is not null")).withColumnRenamed("node", "id")
-    known = staged(groups.join(parts, "id", "left").select("key", "n", F.coalesce("component", "id").alias("class_id")), "classes")
-    named = attach(signed.where("id is not null").select("id", "key"), known, "key", "n", signed.count())
-    named = named.select(F.col("id").alias("doc_id"), "class_id", (F.col("id") == F.col("class_id")).alias("kept"), F.col("n").alias("copies"))
+    signed = staged(rows.mapInArrow(sign, "own_id long, text_hash long, key binary, hashes array<long>, signature binary"), "signatures")
+    good = signed.where("own_id is not null")
+    groups = staged(good.groupBy("key").agg(F.min("own_id").alias("own_id"), F.count("*").alias("n")), "groups")
+    # an item is the words of a text with their smallest id; an id may stand for several, so items have numbers of their own
+    items = numbered(signed.join(groups, ["own_id", "key"]).dropDuplicates(["own_id", "key"]), "items")
+    met = staged(candidates(items).join(items.select("id", "own_id", "text_hash", "signature"), "id"), "candidates")
+    place = ["own_id", "text_hash"]
+    texts = rows.join(met, place, "left_semi").dropDuplicates(place)
+    found = links(items.join(met, "id", "left_semi"), met.join(texts, place).select("id", "signature", "text"), _judge(threshold, width))
+    found = staged(found.unionByName(_tied(good, items)), "links")
+    known = staged(smallest_ids(items.select("id", "own_id", "key", "n"), found).select("key", "n", F.col("smallest").alias("class_id")), "classes")
+    named = attach(good.select(F.col("own_id").alias("doc_id"), "key"), known, "key", "n", signed.count())
+    named = named.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"), F.col("n").alias("copies"))
     return named.unionByName(
-        signed.where("id is null").select(
-            F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(True).alias("kept"), F.lit(1).cast("long").alias("copies")
+        signed.where("own_id is null").select(
+            F.col("own_id").alias("doc_id"), F.col("own_id").alias("class_id"), F.lit(True).alias("kept"), F.lit(1).cast("long").alias("copies")
         )
     )
 
 
+def _tied(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Links between the items that rows of one id fall into: such rows are one document."""
+    several = rows.groupBy("own_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("own_id")
+    tied = rows.join(several, "own_id", "left_semi").select("own_id", "key").distinct().join(items.select("id", "key"), "key")
+    first = tied.groupBy("own_id").agg(F.min("id").alias("a"))
+    edges = tied.join(first, "own_id").where("a <> id")
+    return edges.select("a", F.col("id").alias("b"), F.lit(0).cast("long").alias("n"))
+
+
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, width: int = WORDS) -> DataFrame:
     """docs without the near copies: of each class the smallest doc_id stays."""
     (gone,) = fresh(docs, "gone_id")

@@ -41,7 +41,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written to archives and read back; pages carry no time, so page_id seconds after 2020 stand in for it."""
     pages = table(spark, sf_dir, "pages")
     return warc.round_trip(pages, F.lit(1577836800) + F.col("page_id")).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured"
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured", "url_key", "position"
     )
 
 
@@ -230,10 +230,15 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(body) AS text_sha256
         FROM d JOIN g USING (body)""",
     "op3_warc": """
-        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        WITH u AS (SELECT page_id, coalesce(html, '') AS body, lower(trim(url)) AS url FROM pages),
+        k AS (SELECT page_id, body, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host,
+          regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\\?[^#]+') AS query, url FROM u),
+        p AS (SELECT page_id, body, CASE WHEN coalesce(url, '') = '' THEN '' ELSE array_to_string(list_reverse(string_split(host, '.')), ',')
+          || ')' || coalesce(nullif(path, ''), '/') || query END AS url_key FROM k),
         g AS (SELECT body, max(page_id) AS keep FROM p WHERE strlen(body) >= 1000 GROUP BY body)
         SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest,
           CASE WHEN page_id < keep THEN 'revisit' ELSE 'response' END AS record_type,
-          CASE WHEN page_id < keep THEN keep END AS refers_to, 1577836800 + page_id AS captured FROM p LEFT JOIN g USING (body)""",
+          CASE WHEN page_id < keep THEN keep END AS refers_to, 1577836800 + page_id AS captured,
+          url_key, row_number() OVER (ORDER BY url_key, 1577836800 + page_id, page_id) AS position FROM p LEFT JOIN g USING (body)""",
     "op10_mixing": _mix_sql(),
 }

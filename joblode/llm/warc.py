@@ -7,7 +7,9 @@ of the archive, sorted by URL key, capture time and id. The runs table is writte
 committed tasks are ever read; what a lost or repeated task left is never referred to.
 
 The runs are cut into ranges of that order; a task merges the pieces of all runs in its range with a loser tree, so the
-index comes out in global order, partition after partition, and no task holds more than about MERGE_ROWS rows.
+index comes out in global order, partition after partition, and no task holds more than about MERGE_ROWS rows. The
+merged history is written with the place of each capture in it. Records are read back by this index alone: from the
+archive, offset and length that it names, and a record that is not the one it announces stops the job.
 
 Null html is an empty payload, a null url has no target and the empty key, a null page_id is the smallest id. Rows that
 repeat an id and a payload are written one by one.
@@ -26,7 +28,7 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from joblode.llm.common import attach, quoted, scratch, staged
@@ -34,14 +36,23 @@ from joblode.llm.common import attach, quoted, scratch, staged
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
 MERGE_ROWS = 20_000
-READERS = 100_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RUN = "file string, pos long, url_key string, captured long, page_id long, offset long, length long, record_type string, payload_digest string"
-RECORD = "file string, offset long, page_id long, url string, captured long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+HISTORY = f"position long, {RUN}"
+RECORD = (
+    "position long, url_key string, file string, offset long, page_id long, url string, captured long, payload_bytes long, "
+    "payload_digest string, record_type string, refers_to long"
+)
+
+
+def resolved(spark: SparkSession, folder: str) -> str:
+    """A folder as a URI; without a scheme it lies on Spark's default file system, as for Spark's own readers."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def file_system(folder: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
+    """The file system of a URI, and the path in it."""
     folder = re.sub(r"^file:/+", "/", folder)
     if "://" not in folder:
         return fs.LocalFileSystem(), folder
@@ -115,6 +126,7 @@ def write_archives(pages: DataFrame, folder: str, captured: Column, page_id: str
 
     captured: seconds since 1970 (null: 0). archive_bytes: a new archive is begun after so many, uncompressed.
     """
+    folder = resolved(pages.sparkSession, folder)
     payload = F.coalesce(quoted(html).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(
         quoted(page_id).cast("long").alias("page_id"), quoted(url).cast("string").alias("url"), F.coalesce(captured.cast("long"), F.lit(0)).alias("captured"),
@@ -131,7 +143,8 @@ def write_archives(pages: DataFrame, folder: str, captured: Column, page_id: str
         store.create_dir(base, recursive=True)
         out, run, at = None, [], 0
         for batch in batches:
-            for row in batch.to_pylist():
+            for at_row in range(batch.num_rows):  # one payload in Python at a time
+                row = {name: column[at_row].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
                 if out is None:
                     name, run, at, raw = f"{uuid.uuid4().hex}.warc.gz", [], 0, 0
                     out = store.open_output_stream(f"{base}/{name}", compression=None)
@@ -232,53 +245,75 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def read_archives(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
-    """The records (RECORD) of the archives named in column `file`; digests of payloads are checked."""
+def numbered(history: DataFrame) -> DataFrame:
+    """The merged history (HISTORY), each capture with its place from 1 on; written, so that the order is settled."""
+    placed = staged(history.withColumn("at", F.monotonically_increasing_id()), "warc-history")
+    part = F.shiftright("at", 33).alias("part")
+    sizes = placed.groupBy(part).agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range of the merge
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = F.col("at").bitwiseAND((1 << 33) - 1)
+    return placed.withColumn("part", part).join(starts, "part").select((F.col("start") + within + 1).alias("position"), *history.columns)
+
+
+def read_records(folder: str, index: DataFrame) -> DataFrame:
+    """The records (RECORD) that an index (HISTORY) names; digests of payloads are checked.
+
+    The rows of an archive go to one task in the order of their offsets, so it is read from front to back once.
+    """
+    folder = resolved(index.sparkSession, folder)
+    names = [c.split()[0] for c in RECORD.split(", ")]
+    types = [pa.string() if c.endswith("string") else pa.int64() for c in RECORD.split(", ")]
+
+    def packed(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names=names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = file_system(folder)
-        names = [c.split()[0] for c in RECORD.split(", ")]
-        types = [pa.string() if c.endswith("string") else pa.int64() for c in RECORD.split(", ")]
+        stream, open_file, at, rows = None, None, 0, []
         for batch in batches:
-            for file in batch.column("file").to_pylist():
-                rows = []
-                for offset, data in _members(store.open_input_stream(f"{base}/{file}", compression=None)):
-                    rows.append({"file": file, "offset": offset} | parse(data))
-                    if len(rows) == 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names=names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names=names)
-
-    files = staged(files.select("file").distinct(), "warc-files")
-    return files.repartition(max(1, min(files.count(), READERS))).mapInArrow(read, RECORD)
-
-
-def _members(stream: pa.NativeFile) -> Iterator[tuple[int, bytes]]:
-    """Offset and content of each gzip member."""
-    offset, rest = 0, b""
-    with stream:
-        while True:
-            rest = rest or stream.read(1 << 20)
-            if not rest:
-                return
-            member, parts, size = zlib.decompressobj(31), [], 0
-            while not member.eof:
-                rest = rest or stream.read(1 << 20)
-                if not rest:
-                    raise ValueError("the archive ends inside a record")
-                parts.append(member.decompress(rest))
-                size += len(rest) - len(member.unused_data)
-                rest = member.unused_data
-            yield offset, b"".join(parts)
-            offset += size
+            for entry in batch.to_pylist():  # index rows, without payloads
+                if entry["file"] != open_file:
+                    if stream is not None:
+                        stream.close()
+                    stream, open_file, at = store.open_input_stream(f"{base}/{entry['file']}", compression=None, buffer_size=1 << 20), entry["file"], 0
+                while at < entry["offset"]:
+                    skipped = len(stream.read(min(1 << 20, entry["offset"] - at)))
+                    if not skipped:
+                        raise ValueError("the archive ends before the offset")
+                    at += skipped
+                member = stream.read(entry["length"])
+                at += len(member)
+                found = parse(_unpacked(member, entry["length"]))
+                for name in ("page_id", "captured", "record_type", "payload_digest"):
+                    if found[name] != entry[name]:
+                        raise ValueError(f"the index announces another {name}")
+                rows.append({name: entry[name] for name in ("position", "url_key", "file", "offset")} | found)
+                if len(rows) == 4096:
+                    yield packed(rows)
+                    rows = []
+        if stream is not None:
+            stream.close()
+        if rows:
+            yield packed(rows)
+
+    archives = max(1, index.select("file").distinct().count())
+    return index.repartition(archives, "file").sortWithinPartitions("file", "offset").mapInArrow(read, RECORD)
+
+
+def _unpacked(member: bytes, length: int) -> bytes:
+    unzip = zlib.decompressobj(31)
+    try:
+        data = unzip.decompress(member)
+    except zlib.error as error:
+        raise ValueError("the place in the index is not the start of a record") from error
+    if len(member) != length or not unzip.eof or unzip.unused_data:
+        raise ValueError("the place in the index is not one whole record")
+    return data
 
 
 def round_trip(pages: DataFrame, captured: Column, page_id: str = "page_id", url: str = "url", html: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write, merge, read back: the records of the archives with their place in the capture history."""
-    spark = pages.sparkSession
-    folder = scratch(spark, "warc")
+    """Write, merge, read back through the merged index: the records with their place in the capture history."""
+    folder = scratch(pages.sparkSession, "warc")
     runs = write_archives(pages, folder, captured, page_id, url, html, archive_bytes)
-    history = capture_histories(runs).select("file", "offset", "url_key")
-    # both sides are as long as the pages, which their plans don't show: never broadcast one
-    return read_archives(spark, folder, runs).hint("merge").join(history.hint("merge"), ["file", "offset"])
+    return read_records(folder, staged(numbered(capture_histories(runs)), "warc-index"))

@@ -151,6 +151,40 @@ def test_near_classes(docs):
     assert {r.doc_id for r in kept.collect()} == {None, *want.values()}
 
 
+def test_an_id_with_several_texts_is_one_document(spark):
+    a, b, c = text(1, 60), text(2, 60), text(3, 60)
+    rows = [(5, a), (5, b), (3, b), (7, c), (7, a), (9, f"{c} end"), (2, text(4, 60)), (2, text(4, 60)), (8, text(5, 60))]
+    got = near_dedup.near_classes(spark.createDataFrame([(i, t, "en", "s") for i, t in rows], DOCS)).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == sorted((i, {2: 2, 8: 8}.get(i, 3)) for i, _ in rows)
+    kept = near_dedup.drop_near(spark.createDataFrame([(i, t, "en", "s") for i, t in rows], DOCS))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 2, 3, 8]
+
+
+def test_repeated_ids_with_other_vectors(spark, monkeypatch):
+    """Every vector is near exactly two others; ids repeat over vectors that are far from each other."""
+    from joblode.llm import buckets
+
+    monkeypatch.setattr(buckets, "BLOCK", 2)
+    draw = np.random.default_rng(9)
+    base = draw.standard_normal((12, 16))
+    rows = [(j % 5 + 10 * k, (v + 0.02 * draw.standard_normal(16)).tolist()) for j, v in enumerate(base) for k in range(3)]
+    rows += [rows[0], (1, None)]
+    unit = [np.array(v) / np.linalg.norm(v) if v else None for _, v in rows]
+    near = [[j for j, y in enumerate(unit) if j != i and x is not None and y is not None and x @ y >= 0.95] for i, x in enumerate(unit)]
+
+    def reach(i):
+        seen, todo = {i}, [i]
+        while todo:
+            new = set(near[todo.pop()]) - seen
+            seen |= new
+            todo += new
+        return min(rows[j][0] for j in seen)
+
+    got = embedding_dedup.find_near(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = Counter((i, len(near[n]), reach(n), i == reach(n)) for n, (i, _) in enumerate(rows))
+    assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == want
+
+
 def test_a_chain_of_edits_is_one_class_in_many_blocks(spark, monkeypatch):
     """Neighbours are alike, the ends are not; buckets are cut into small blocks."""
     from joblode.llm import buckets
@@ -375,6 +409,18 @@ def test_pages_survive_the_archives(spark, monkeypatch):
         want.append((i, len(body), hashlib.sha1(body).hexdigest(), "revisit" if again else "response", last[h] if again else None))
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == Counter(want)
 
+    order = lambda r: (r.url_key, r.captured, r.page_id is not None, r.page_id or 0)
+    assert sorted(r.position for r in got) == list(range(1, len(rows) + 1))
+    assert [order(r) for r in sorted(got, key=lambda r: r.position)] == sorted(map(order, got))
+
+    folder = common.scratch(spark, "warc")
+    index = warc.numbered(warc.capture_histories(warc.write_archives(pages, folder, F.lit(7))))
+    for wrong in ({"length": F.col("length") - 1}, {"page_id": F.col("page_id") + 1}, {"offset": F.col("offset") + 1}):
+        with pytest.raises(Exception, match="index|record"):
+            warc.read_records(folder, index.withColumns(wrong)).collect()
+    some = warc.read_records(folder, index.where("position % 7 = 3")).collect()
+    assert sorted(r.position for r in some) == [n for n in range(1, len(rows) + 1) if n % 7 == 3]
+
     runs = warc.write_archives(pages, common.scratch(spark, "warc"), F.lit(5) * F.col("page_id"), archive_bytes=9000)
     merged = [(r.url_key, r.captured, r.page_id) for r in warc.capture_histories(runs).collect()]
     key = lambda x: (x[0], x[1], x[2] is not None, x[2] or 0)
