@@ -448,10 +448,57 @@ def test_language_model(spark, docs, monkeypatch):
         for i, b, *_ in rows
     )
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+    plain = plain_interpolation([(i, tokens(b), held(i)) for i, b, *_ in rows])
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == sorted((str(i), round(x, 6)) for i, x in plain)
     out = [r for r in got if r.held_out and r.doc_id >= 500]  # texts that training texts repeat
     assert out and all(r.score < 0 for r in got) and sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def plain_interpolation(rows):
+    """rows: (id, tokens, held out). Scores with dictionaries; ratios of the deleted tokens to quarter doublings, as stated."""
+    deleted = {i for i, _, out in rows if not out and ngram_lm.deleted([i])[0]}
+    assert 3 < len(deleted) < len(rows) / 2
+    pairs = lambda ts: zip(["start", *ts], ts)
+
+    def counts(chosen):
+        one = Counter(t for ts in chosen for t in ts)
+        return one, Counter(p for ts in chosen for p in pairs(ts)), {**one, "start": len(chosen)}, sum(one.values())
+
+    whole = counts([ts for _, ts, out in rows if not out])
+    one, two, context, n = counts([ts for i, ts, out in rows if not out and i not in deleted])
+    v = len(whole[0]) + 1
+    near = lambda x: 2 ** (round(4 * math.log2(x)) / 4) if x else 0.0
+    seen = defaultdict(Counter)
+    for i, ts, out in rows:
+        for a, b in pairs(ts) if i in deleted and not out else ():
+            c = context.get(a, 0)
+            seen[c.bit_length()][near(two[a, b] / max(c, 1) * v), near(one[b] / n * v)] += 1
+    weights = {}
+    for k in range(ngram_lm.BUCKETS):
+        w = [1 / 3] * 3 if k else [0, 0.5, 0.5]
+        for _ in range(ngram_lm.EM_ROUNDS if seen[k] else 0):
+            part = [0.0] * 3
+            for (x, y), m in seen[k].items():
+                terms = [w[0] * x, w[1] * y, w[2]]
+                part = [p + m * t / sum(terms) for p, t in zip(part, terms)]
+            w = [p / sum(part) for p in part]
+        w = [max(w[0], 1e-9 * (w[0] > 0)), max(w[1], 1e-9 * (w[1] > 0)), max(w[2], 1e-9)]
+        weights[k] = [x / sum(w) for x in w]
+    for i, ts, _ in rows:
+        total = 0.0
+        for a, b in pairs(ts):
+            c = whole[2].get(a, 0)
+            w = weights[c.bit_length()]
+            total += math.log10(w[0] * whole[1][a, b] / max(c, 1) + w[1] * whole[0][b] / whole[3] + w[2] / v)
+        yield i, total
+
+
+def test_large_ids_beside_a_null_id(spark):
+    rows = [(2**62 + 1, "a b"), (None, "a c"), (-(2**62) - 1, "a b")]
+    got = ngram_lm.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), F.lit(False)).collect()
+    assert {r.doc_id for r in got} == {i for i, _ in rows}
+
+
 def test_weights_fit_what_held_out_counts_say():
     """Where the pair estimate is right and the others are not, it gets the weight; where it is nil, none."""
     cell = lambda b, pair, single: b << 16 | pair << 8 | single
