@@ -243,6 +243,25 @@ def test_html_text(spark):
         "a b c", "plain text", "x & y <z> © q", "t u", None, "a b", "&unknown AB –", "unclosed bold it", "AT&T x", None, None,
     ]
     assert values(spark, markup.html_text, samples) == expected
+    odd = ["<a href='x>y' b=\"'\">t</a>", "<![CDATA[ cd <i> &amp; ]]>&hellip;", "q&#x1F600;&#128;&#xD800;&#99999999999;", "<script>never closed <b>x", "x &amp",
+           "a < b <3 </ c>d", "<template>u</template>&NotEqualTilde;v", "<p>" + "w " * 50000 + "<b>" * 50000 + "&amp;" * 5000]
+    assert values(spark, markup.html_text, odd) == [
+        "t", "cd <i> &amp; …", "q😀€��", None, "x &amp", "a < b <3 d", "\u2242\u0338v", ("w " * 50000 + "&" * 5000).strip()
+    ]
+
+
+def test_html_text_like_the_element_tree(spark):
+    draw = random.Random(3)
+    atoms = ["<p>", "</p>", "a", "b c", "<br/>", "&amp;", "&amp ", "&copy;", "&#65;", "&#x42;", "&#150;", "<!-- x > y -->", "<script>var t='</p>';</script>",
+             "<STYLE>q</StYle >", " ", "\n", "<a href='x>y'>", "</a>", "a < b", "<3", "& ", "&unknown;", "&nbsp;", "&lt;b&gt;", "é", "😀", "<!DOCTYPE html>", "<?pi x?>",
+             "<rt>r</rt>", "<template>t<b>u</b></template>", "<b class=x>", "&hellip;"]
+    samples = ["".join(draw.choices(atoms, k=draw.randint(1, 9))) for _ in range(800)]
+    assert values(spark, markup.html_text, samples) == [markup.tree(" ".join(x.split())).text() for x in samples]
+
+
+def test_html_text_stays_in_the_jvm(spark):
+    frame = spark.createDataFrame([("<p>x",)], "x string").select(markup.html_text(F.col("x")))
+    assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
 
 
 def test_variant_readers(spark):
