@@ -276,6 +276,27 @@ def test_components(spark):
     assert got == {i: root(i) for a, b in edges if a != b for i in (a, b)}
 
 
+def plain_bayes(rows, learn):
+    """Naive Bayes with dictionaries, over n-grams of two and three characters as the module states them."""
+
+    def grams(body):
+        marks = " " + re.sub(r"[^\W\d_]+|.", lambda m: m.group() if m.group()[0].isalpha() else " ", (body or "").lower(), flags=re.S) + " "
+        marks = re.sub(" +", " ", marks)
+        two = [marks[i : i + 2] for i in range(len(marks) - 1)]
+        return two + [marks[i : i + 3] for i in range(len(marks) - 2) if marks[i + 1] != " "]
+
+    known = sorted({k for i, _, k, _ in rows if k is not None and learn(i)})
+    seen = {k: Counter(g for i, b, lg, _ in rows if lg == k and learn(i) for g in grams(b)) for k in known}
+    texts = Counter(k for i, b, k, _ in rows if k is not None and learn(i) and any(c.isalpha() for c in b or ""))
+    for i, b, *_ in rows:
+        if not any(c.isalpha() for c in b or ""):
+            yield i, "und", 0.0
+            continue
+        logs = {k: math.log(texts[k] / sum(texts.values())) + sum(math.log((seen[k][g] + 0.5) / (sum(seen[k].values()) + 0.5 * langid.BUCKETS)) for g in grams(b)) for k in known}
+        best = max(known, key=lambda k: logs[k])
+        yield i, best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())
+
+
 def test_languages(spark, docs):
     draw = random.Random(1)
     sounds = {"aa": "ka lo mi tu", "bb": "zr xq vw gh", "cc": "éü öä ñç"}
@@ -289,6 +310,8 @@ def test_languages(spark, docs):
             assert r.lang_pred == r.lang
     by = {r.doc_id: (r.lang_pred, r.score) for r in out}
     assert by[900] == by[901] == ("und", 0.0) and by[902][0] == "aa" and by[None][0] == "bb"
+    plain = plain_bayes(rows, lambda i: i is None or zlib.crc32(str(i).encode()) % 3 != 1)
+    assert Counter((r.doc_id, r.lang_pred, round(r.score, 4)) for r in out) == Counter((i, k, round(p, 4)) for i, k, p in plain)
     replaced = langid.identify(docs)
     assert replaced.columns.count("score") == replaced.columns.count("lang_pred") == 1 and replaced.count() == len(sample_docs())
 
