@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import date, datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joblode import lexicon
 from joblode.functions.text import any_of, join_present
+from joblode.operators.normalize import normalize_listings
 from joblode.schemas import JOB_FIELDS, ORDER_COLUMNS, STORED_ORDER_COLUMNS
 
 
@@ -166,6 +171,39 @@ def recent_jobs(
     return jobs.orderBy(*stored_order(order_columns)).limit(limit).select(*JOB_FIELDS)
 
 
+def _of_listings(
+    listings: DataFrame, as_of: date | datetime, pick: Callable[[DataFrame], DataFrame], order: list[Column],
+    order_columns: list[str], options: dict,
+) -> DataFrame:
+    """The jobs that `pick` takes, a bounded number: first with the columns that it reads alone, then whole."""
+    picked = pick(normalize_listings(listings, as_of, **options)).select(*(F.col(name).alias(f"_{name}") for name in order_columns))
+    same = reduce(and_, (F.col(name).eqNullSafe(F.col(f"_{name}")) for name in order_columns))
+    few = listings.join(F.broadcast(picked), same, "left_semi")
+    return normalize_listings(few, as_of, **options).orderBy(*order).select(*JOB_FIELDS)
+
+
+def search_listings(
+    listings: DataFrame, as_of: date | datetime, spec: SearchSpec, order_columns: list[str] = ORDER_COLUMNS, **options
+) -> DataFrame:
+    """search_page() over raw listings: tests and order are read from the columns they need, and only the listings of
+    the page, at most spec.size, are finished. The order columns must tell listings apart. options: of normalize_listings()."""
+    order = search_order(order_columns)
+
+    def pick(jobs: DataFrame) -> DataFrame:
+        return filter_jobs(jobs, spec).orderBy(*order).offset((spec.page - 1) * spec.size).limit(spec.size)
+
+    return _of_listings(listings, as_of, pick, order, order_columns, options)
+
+
+def recent_of_listings(
+    listings: DataFrame, as_of: date | datetime, limit: int = lexicon.MATCH_POOL, order_columns: list[str] = ORDER_COLUMNS, **options
+) -> DataFrame:
+    """recent_jobs() over raw listings, finished like the page of search_listings(). Its limit is checked: it bounds a broadcast."""
+    check_between("limit", limit, 1, lexicon.MATCH_POOL_MAX)
+    order = stored_order(order_columns)
+    return _of_listings(listings, as_of, lambda jobs: jobs.orderBy(*order).limit(limit), order, order_columns, options)
+
+
 class JobNotFound(LookupError):
     pass
 

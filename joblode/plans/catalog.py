@@ -123,7 +123,7 @@ _HIT = ["id", "title", "company", "location_raw", "remote_type", "employment_typ
 
 
 def _search(spec: search.SearchSpec) -> Query:
-    return lambda spark, sf_dir: search.search_page(view.jobs(spark, sf_dir), spec).select(*_HIT)
+    return lambda spark, sf_dir: search.search_listings(view.raw_listings(spark, sf_dir), view.AS_OF, spec).select(*_HIT)
 
 
 def search_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,7 @@ def search_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recent_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.recent_jobs(view.jobs(spark, sf_dir), order_columns=ORDER_COLUMNS).select(*_HIT)
+    return search.recent_of_listings(view.raw_listings(spark, sf_dir), view.AS_OF).select(*_HIT)
 
 
 def top_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
