@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joblode.operators import insights, match, overlap, search
+from joblode.operators.normalize import normalize_listings
 from joblode.schemas import JOB, ORDER_COLUMNS, STORED_ORDER_COLUMNS
 from joblode.sources import derived
 from joblode.sources.ranges import SortedJobs
@@ -157,3 +158,24 @@ def test_common_skills_are_left_out_once_enough_jobs_share_more(spark):
     assert sorted((r.own, r.has, r.shared) for r in got) == [
         (["go", "python", "sql"], ["go", "python", "sql"], 3), (["python"], ["go", "python", "sql"], 1), (["python"], ["python"], 1), (["python"], ["python", "sql"], 1),
     ]
+
+
+def test_pages_out_of_listings_finish_only_the_page(spark, listings):
+    rng = random.Random(8)
+    rows = [{
+        "title": rng.choice(["Senior Python Dev", "Data Engineer", "dev", None]), "company": rng.choice(["Acme", None]), "location_raw": rng.choice(PLACES),
+        "remote_type_raw": rng.choice(["remote", "onsite", None]), "posted_at_raw": rng.choice(["2026-03-20", "1774000000", "99999999999999999", None]),
+        "tags": rng.sample(["Python", "SQL", "K8s"], rng.randint(0, 2)), "src_rank": rng.choice([None, 0, 1]), "payload_id": f"p{i % 3}",
+    } for i in range(120)]
+    raw = listings(*rows)
+    day = T1.date()
+    jobs = normalize_listings(raw, day)
+    for spec in ({}, {"q": "python", "remote": True}, {"country": "tr", "page": 2}, {"seniority": "senior", "limit": 50}, {"page": 12}, {"page": 99}):
+        spec = search.SearchSpec(**spec)
+        assert search.search_listings(raw, day, spec).collect() == search.search_page(jobs, spec).collect()
+    assert search.recent_of_listings(raw, day, 30).collect() == search.recent_jobs(jobs, 30, ORDER_COLUMNS).collect()
+    assert search.search_listings(raw.limit(0), day, search.SearchSpec()).collect() == []
+    with pytest.raises(ValueError):
+        search.recent_of_listings(raw, day, 10_001)
+    plan = search.search_listings(raw, day, search.SearchSpec())._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
