@@ -288,3 +288,11 @@ def test_salary_text(spark):
     rows = [(50000, 60000), (50000, None), (0, 70000), (None, None), (0, 0), (1234567, 0)]
     got = spark.createDataFrame(rows, "a bigint, b bigint").select(V.salary_text(F.col("a"), F.col("b")).alias("s")).collect()
     assert [row.s for row in got] == ["$50,000 - $60,000", "$50,000+", "Up to $70,000", None, None, "$1,234,567+"]
+
+
+def test_addresses_in_capitals(spark):
+    """Only scheme and host are lowered; what needs more than that still goes the long way."""
+    samples = ["HTTPS://Jobs.Example.com/P/1/#Apply", "Http://A.b/x", "https://EX.com/a\n", "HTTP://Ex.com:80/", "HTTPS://Ex.com/a/../B", "HTTPS://U@Ex.com/", "FTP://Ex.com/"]
+    assert values(spark, urls.valid_http_url, samples) == [
+        "https://jobs.example.com/P/1/#Apply", "http://a.b/x", "https://ex.com/a", "http://ex.com/", "https://ex.com/B", "https://U@ex.com/", None
+    ]
