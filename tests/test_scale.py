@@ -11,6 +11,7 @@ from joblode.operators import upsert
 from joblode.operators.replay import RECORD
 from joblode.plans import listing_view as view
 from joblode.schemas import JOB_FIELDS, ORDER_COLUMNS
+from joblode.sources import derived
 from joblode.sources.store import JobTable
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -54,3 +55,15 @@ def test_records_are_settled_without_their_payload(spark, batch, tmp_path):
     assert set(settled.columns) == {*upsert.RECORDS, "target", "identity"}
     got, want = upsert.reduce_settled(settled, numbered), upsert.reduce_batch(settled.join(numbered.drop("id", "source_job_url", *ORDER_COLUMNS), RECORD).drop(RECORD))
     assert sorted(got.select(*want.columns).collect()) == sorted(want.collect()) and got.count() == 30
+
+
+def test_postings_share_a_row_for_many_jobs(spark):
+    ids = [f"id-of-some-length-{i}" for i in range(640)]
+    fields = {name: F.lit("the same words in every one") for name in ("title", "location_raw", "company")}
+    nothing = {name: F.lit(None).cast("string") for name in ("normalized_title", "description_snippet", "location_city", "location_country")}
+    rows = spark.createDataFrame([(i % 3, key) for i, key in enumerate(ids)], "bucket int, id string").coalesce(1)
+    rows = rows.withColumns({**fields, **nothing, "skills": F.array().cast("array<string>")})
+    held = derived.postings(rows)
+    assert held.count() < 640 * 10  # a row for each trigram of each job would be some 50 for each
+    assert sorted(r.id for r in derived.meeting(held, ["tsam", "twor"]).collect()) == sorted(ids)
+    assert derived.meeting(held, ["tsam", "tzzz"]).count() == 0
