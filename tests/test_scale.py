@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from joblode.operators import upsert
+from joblode.operators.closure import linked_groups
 from joblode.operators.replay import RECORD
 from joblode.plans import listing_view as view
 from joblode.schemas import JOB_FIELDS, ORDER_COLUMNS
@@ -67,3 +68,11 @@ def test_postings_share_a_row_for_many_jobs(spark):
     assert held.count() < 640 * 10  # a row for each trigram of each job would be some 50 for each
     assert sorted(r.id for r in derived.meeting(held, ["tsam", "twor"]).collect()) == sorted(ids)
     assert derived.meeting(held, ["tsam", "tzzz"]).count() == 0
+
+
+def test_rounds_of_a_long_chain_leave_one_table(spark, tmp_path):
+    table = JobTable(spark, str(tmp_path))
+    chain = spark.range(100).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = linked_groups(chain, table.staged, table.unstaged)
+    assert found.where("group <> 0").isEmpty() and found.count() == 101
+    assert len(list((tmp_path / "staging").iterdir())) == 1
