@@ -296,3 +296,11 @@ def test_addresses_in_capitals(spark):
     assert values(spark, urls.valid_http_url, samples) == [
         "https://jobs.example.com/P/1/#Apply", "http://a.b/x", "https://ex.com/a", "http://ex.com/", "https://ex.com/B", "https://U@ex.com/", None
     ]
+
+
+def test_digits_behind_the_last_one_are_not_computed(spark):
+    """Long differences leave the nested digits; the loop behind them is short."""
+    labels = ["ü", "bücher", "東京", "a" * 1200 + "\U0010ffff", "\U0010ffff" * 3 + "\u0080" + "z" * 600 + "\U0010ffff", "пример-日本"]
+    assert values(spark, urls.punycode, labels) == [label.encode("punycode").decode() for label in labels]
+    text = str(urls.punycode(F.col("label")))
+    assert f"sequence({urls._NESTED_DIGITS + 1}," in text and "sequence(1, 12)" not in text
