@@ -1,12 +1,12 @@
 import random
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joblode.operators import insights, match, overlap, search
-from joblode.operators.normalize import normalize_listings
+from joblode.operators.normalize import Wanted, normalize_listings
 from joblode.schemas import JOB, ORDER_COLUMNS, STORED_ORDER_COLUMNS
 from joblode.sources import derived
 from joblode.sources.ranges import SortedJobs
@@ -179,3 +179,34 @@ def test_pages_out_of_listings_finish_only_the_page(spark, listings):
         search.recent_of_listings(raw, day, 10_001)
     plan = search.search_listings(raw, day, search.SearchSpec())._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
+
+
+def test_listings_that_cannot_pass_are_not_finished(spark, listings):
+    """Early tests leave out no hit: skills behind aliases and tags, letters whose case changes, bracketed words."""
+    day = date(2026, 3, 22)
+    titles = ["Senior Java dev", "QA (Remote, Full-time)", "Yazılım TR", "jr. K8s admin", "ja(remote)va", "Straße GROSS", "Sr engineer", "Ja|va lead", "", None]
+    places = ["Istanbul, Turkey", "Remote", None, "Berlin, Germany", "İzmir", "on site"]
+    notes = ["Node.js and TS", "full  time permanent", None, "work from home, TypeScript", "golang or postgres"]
+    tags = [[], ["JS"], None, ["k8s", " Java "], ["remote", "Golang"]]
+    rows = [
+        {"title": titles[i % 10], "location_raw": places[i % 6], "description_text": notes[i % 5], "tags": tags[(i // 2) % 5],
+         "employment_type_raw": [None, "Full-time", "fixed term"][i % 3], "remote_type_raw": [None, "Remote-first", "onsite", "anywhere"][i % 4],
+         "company": ["Javelin", None, "Ss AG"][i % 3], "source": "remotive", "posted_at_raw": "2026-03-01"} for i in range(240)
+    ]
+    raw = listings(*rows)
+    jobs = normalize_listings(raw, day).cache()
+    asked = [
+        {"q": q} for q in ("java", "JavaScript", "kubernetes", "go", "post", "ss", "strasse", "ı", "engineer", "a b", "typescript", "remote")
+    ] + [{"remote": False}, {"remote": True, "employment_type": "full_time"}, {"employment_type": "other"}, {"seniority": "unknown"},
+         {"seniority": "junior", "q": "kubernetes"}, {"country": "TR"}, {"country": "germany", "location": "berlin"}, {"location": "zmir", "q": "java"}]
+    for spec in (search.SearchSpec(**values) for values in asked):
+        early = normalize_listings(raw, day, wanted=search.wanted(spec))
+        held = {row.pos for row in search.filter_jobs(early, spec).select("pos").collect()}
+        assert held == {row.pos for row in search.filter_jobs(jobs, spec).select("pos").collect()}, spec
+        assert search.search_meta(early, spec).collect() == search.search_meta(jobs, spec).collect()
+    few = normalize_listings(raw, day, wanted=Wanted(labels={"seniority_level": ["junior"]}))
+    assert 0 < few.count() < raw.count() / 4
+    assert normalize_listings(raw, day, wanted=Wanted(text="kubernetes")).count() < raw.count()
+    assert normalize_listings(raw, day, wanted=search.wanted(search.SearchSpec(country="tr"))).count() < raw.count()
+    plan = search.search_listings(raw, day, search.SearchSpec(seniority="junior"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_evidence" in plan and "Contains(_evidence" in plan
