@@ -84,7 +84,9 @@ def match_all(
     anywhere = met.join(first_few(offered, "has", "_remote"), "has")
     wishes = profiles.select(F.col("_place_wish").alias("needle"))
     lying = containing(wishes, offered.select(F.col("_where").alias("text")))
-    there = offered.join(lying.select(F.col("needle").alias("_place_wish"), F.col("text").alias("_where")), "_where")
+    # of jobs that also lie in the same place only the first few can win, so a place that most jobs share stays small
+    placed = first_few(offered, "has", "_remote", "_where")
+    there = placed.join(lying.select(F.col("needle").alias("_place_wish"), F.col("text").alias("_where")), "_where")
     nearby = met.join(first_few(there, "has", "_remote", "_place_wish"), ["has", "_place_wish"])
     rows = anywhere.unionByName(nearby).dropDuplicates(["profile", "job_id", *place])
 

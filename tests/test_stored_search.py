@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import date, datetime, timezone
 
 import pytest
@@ -210,3 +211,16 @@ def test_listings_that_cannot_pass_are_not_finished(spark, listings):
     assert normalize_listings(raw, day, wanted=search.wanted(search.SearchSpec(country="tr"))).count() < raw.count()
     plan = search.search_listings(raw, day, search.SearchSpec(seniority="junior"))._jdf.queryExecution().optimizedPlan().toString()
     assert "_evidence" in plan and "Contains(_evidence" in plan
+
+
+def test_jobs_in_a_common_place_are_few_before_they_meet_wishes(spark):
+    """Jobs of a place are cut to the first few of each skill set before the join by place."""
+    rows = [(f"j{i}", "A", "Remote" if i % 10 else "Berlin", "remote", ["python"] if i % 3 else ["sql"], i % 4, 0, "p", i) for i in range(2000)]
+    people = [(1, ["python"], 2, "remote", True), (2, ["sql", "python"], 2, "berlin", False), (3, ["sql"], 1, "e", None)]
+    jobs = spark.createDataFrame(rows, "id string, title string, location_raw string, remote_type string, skills array<string>, freshness_days int, src_rank int, payload_id string, pos long")
+    candidates = spark.createDataFrame(people, "candidate_id long, skills array<string>, experience_years int, preferred_location string, remote_preferred boolean")
+    got = overlap.match_all(candidates, jobs, 5, ORDER_COLUMNS)
+    want = match.match_candidates(candidates, jobs, 2000, 5, ORDER_COLUMNS)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"WindowGroupLimit \[has#\d+, _remote#\d+, _where#\d+\]", plan)
