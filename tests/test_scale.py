@@ -76,3 +76,25 @@ def test_rounds_of_a_long_chain_leave_one_table(spark, tmp_path):
     found = linked_groups(chain, table.staged, table.unstaged)
     assert found.where("group <> 0").isEmpty() and found.count() == 101
     assert len(list((tmp_path / "staging").iterdir())) == 1
+
+
+@tables
+def test_joins_that_shuffle_do_not_undo_the_dealing(spark, monkeypatch):
+    monkeypatch.setattr(view, "TASK_ROWS", 250)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = view.listing_rows(spark, SF_DIR)
+        sizes = rows.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert max(row["count"] for row in sizes) < 400
+    monkeypatch.undo()
+    assert sorted(rows.collect()) == sorted(view.listing_rows(spark, SF_DIR).collect())
+
+
+@tables
+@pytest.mark.parametrize("name", ["response_matches", "ranked_list_resolve", "insert_branch", "skills_gap", "missing_skills"])
+def test_listings_that_are_used_twice_are_normalized_once(spark, name):
+    plan = driver.queries()[name](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
