@@ -1,5 +1,6 @@
 import json
 import random
+import re
 from collections import deque
 from datetime import datetime, timedelta
 
@@ -209,3 +210,26 @@ def test_busy_key_spans_chunks(spark, regular):
 
 def test_cap_of_an_empty_table(spark):
     assert ratecap.rate_cap(spark.createDataFrame([], "k int, ts timestamp, e int"), "k", "ts", "e", 2, 60).collect() == []
+
+
+def test_an_id_of_many_lists_meets_its_record_in_parts(spark, jobs, monkeypatch):
+    listed = [["x", "j1", "x"], ["j1", None, "j2"], ["nobody", "j2", "j1", "j2"]] * 20
+    lists = spark.createDataFrame([*enumerate(listed), (0, ["j4"])], "list_id int, job_ids array<string>")
+
+    def found():
+        got = match.resolve_ranked_lists(lists, jobs, order_columns=["pos"])
+        return got, sorted((r.list_id, r["rank"], r.match_score, r.job.id) for r in got.collect())
+
+    plain = found()[1]
+    monkeypatch.setattr(match, "MEETING_ROWS", 7)
+    got, dealt = found()
+    assert dealt == plain and [row for row in plain if row[0] in (1, 2)] == [(1, 0, 100, "j1"), (1, 1, 90, "j2"), (2, 0, 100, "j2"), (2, 1, 90, "j1")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "((id = id) AND (_part = _part))" in re.sub(r"#\d+", "", plan)
+
+
+def test_a_response_is_read_once(spark):
+    texts = spark.createDataFrame([(1, "match", '["a"]')], "response_id int, kind string, text string")
+    plan = responses.clean_responses(texts).filter("error_code IS NULL")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") <= 2 * plan.count("_listed")  # both forms, each made in one place
+    assert "parse" not in "".join(line.lower() for line in plan.splitlines() if "Filter" in line)
