@@ -224,3 +224,14 @@ def test_jobs_in_a_common_place_are_few_before_they_meet_wishes(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"WindowGroupLimit \[has#\d+, _remote#\d+, _where#\d+\]", plan)
+
+
+def test_ranges_outnumber_the_tasks_that_sort_them(spark, tmp_path):
+    jobs = made(spark, random.Random(5), 300)
+    ranges = SortedJobs(spark, str(tmp_path)).build(jobs, range_rows=5)
+    sizes = [row.n for row in ranges._index(search.SearchSpec()).collect()]
+    tasks = {file.name.split("-")[1] for file in tmp_path.glob("rows/range=*/part-*")}
+    assert sum(sizes) == 300 and max(sizes) <= 5 and len(tasks) <= 4 * spark.sparkContext.defaultParallelism < len(sizes)
+    for page, limit in [(1, 7), (3, 20), (30, 10), (60, 5)]:
+        spec = search.SearchSpec(page=page, limit=limit)
+        assert ids(ranges.page(spec)) == ids(search.search_page(jobs, spec)), spec
