@@ -1,6 +1,10 @@
 import json
 from datetime import datetime, timedelta, timezone
 
+from pyspark.sql import functions as F
+
+from joblode.operators.ingest import ingest_into
+from joblode.sources.landing import payload_table
 from joblode.sources.store import JobTable
 from joblode.streaming.ingest import start_ingest
 from joblode.streaming.ratecap import rate_cap_stream
@@ -97,3 +101,18 @@ def test_state_of_idle_keys_expires(spark, tmp_path):
         kept.append(sorted({r.key.name for r in values.collect()}))
     assert got == {1: True, 2: True, 3: True, 4: True, 5: True, 6: True, 7: False, 8: True, 9: True, 10: False}
     assert kept == [["busy", "idle"], ["busy", "idle"], ["busy"], ["busy", "idle"]]
+
+
+def test_a_batch_reads_its_payloads_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    rows = [(f"p{i}", "remotive", '{"jobs": [{"id": %d, "title": "A"}]}' % i if i % 2 else "<p>x</p>") for i in range(6)]
+    payloads = payload_table(spark.createDataFrame(rows, "payload_id string, source string, body string"))
+    body = F.udf(read, "string").asNondeterministic()("body")
+    table = JobTable(spark, str(tmp_path))
+    ingest_into(table, payloads.withColumn("body", body), datetime(2026, 3, 22, tzinfo=timezone.utc), "b1")
+    assert seen.value == 6 and table.read().count() == 3
