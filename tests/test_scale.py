@@ -1,5 +1,6 @@
 """What keeps the work of a task and the rows that travel bounded."""
 
+import time
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -12,11 +13,13 @@ from joblode.operators.closure import linked_groups
 from joblode.operators.replay import RECORD
 from joblode.plans import listing_view as view
 from joblode.schemas import JOB_FIELDS, ORDER_COLUMNS
-from joblode.sources import derived
+from joblode.session import CLEANUP_CONF
+from joblode.sources import derived, store
 from joblode.sources.store import JobTable
 
 SF_DIR = "/root/testdata/sf0.001"
 T1 = datetime(2026, 3, 22, 9, 0, tzinfo=timezone.utc)
+T2 = datetime(2026, 3, 23, 9, 0, tzinfo=timezone.utc)
 tables = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="driver tables not present")
 
 
@@ -98,3 +101,49 @@ def test_joins_that_shuffle_do_not_undo_the_dealing(spark, monkeypatch):
 def test_listings_that_are_used_twice_are_normalized_once(spark, name):
     plan = driver.queries()[name](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan
+
+
+def _shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(file.name.startswith("shuffle_") for folder in folders for file in Path(folder.getPath()).rglob("*"))
+
+
+def _settles(spark, wanted):
+    for _ in range(50):
+        if _shuffle_files(spark) <= wanted:
+            return True
+        time.sleep(0.2)
+    return False
+
+
+def test_writes_leave_no_shuffle_files(spark, batch, tmp_path):
+    before, conf = _shuffle_files(spark), spark.conf.get(CLEANUP_CONF)
+    counted = batch.repartition(3, "title").groupBy("title").count()
+    saved = JobTable(spark, str(tmp_path)).staged(counted)
+    assert _settles(spark, before) and spark.conf.get(CLEANUP_CONF) == conf
+    assert sorted(saved.collect()) == sorted(counted.collect())
+
+
+def test_a_merge_in_steps_leaves_the_same_table(spark, batch, tmp_path, monkeypatch):
+    moved = batch.withColumns({"title": F.concat(F.lit("new "), "title"), "pos": F.col("pos") + 100}).where("pos % 2 = 0")
+    lost = batch.withColumns({"id": F.lit(None).cast("string"), "source_job_url": F.lit(None).cast("string"), "pos": F.col("pos") + 200}).limit(1)
+    found = {}
+    for name, step_bytes in {"one": 1 << 30, "many": 1}.items():
+        monkeypatch.setattr(store, "STEP_BYTES", step_bytes)
+        table = JobTable(spark, f"{tmp_path}/{name}", buckets=4, keep=(derived.NAMES,))
+        for rows, day in ((batch, T1), (moved.unionByName(lost), T2)):
+            persisted = table.upsert(rows, day)
+            assert persisted.count() == rows.count()
+            table.unstaged(persisted)
+        assert not [*(tmp_path / name / "staging").glob("*/**/*.parquet")]
+        found[name] = (sorted(map(str, table.read().collect())), sorted(map(str, table.top("companies", 5).collect())))
+    assert found["one"] == found["many"] and len(found["one"][0]) == 31
+    assert len([*(tmp_path / "many" / "data").iterdir()]) > len([*(tmp_path / "one" / "data").iterdir()]) == 2
+
+
+def test_a_merge_keeps_the_bucket_of_records_without_an_id(spark, batch, tmp_path):
+    table = JobTable(spark, str(tmp_path))
+    table.commit(upsert.apply_reduced(table._empty_like(batch), upsert.reduce_batch(upsert.resolve(table._empty_like(batch), batch)), T1, 1), T1)
+    lost = batch.withColumns({"id": F.when(F.col("pos") > 0, F.col("id")), "source_job_url": F.lit(None).cast("string")}).limit(2)
+    table.upsert(lost, T2)
+    assert {row.id for row in table.read().collect()} == {None, *(f"j{i}" for i in range(30))}
