@@ -1,6 +1,7 @@
 import random
 import re
 from datetime import datetime, timezone
+from urllib.parse import urljoin
 
 import pytest
 from hypothesis import given, settings
@@ -304,3 +305,38 @@ def test_digits_behind_the_last_one_are_not_computed(spark):
     assert values(spark, urls.punycode, labels) == [label.encode("punycode").decode() for label in labels]
     text = str(urls.punycode(F.col("label")))
     assert f"sequence({urls._NESTED_DIGITS + 1}," in text and "sequence(1, 12)" not in text
+
+
+def _shown(element):
+    return element.tag, element.attrs, [child if isinstance(child, str) else _shown(child) for child in element.children]
+
+
+def test_plain_documents_are_read_without_the_parser_and_alike():
+    plain = ['<div class="a job a">', "</div>", "<p>", "</p>", "<br>", '<a href="/x">', "</a>", "</b>", "text ", "\n", '<h2 itemprop="">', "</h2>"]
+    odd = ["&amp;", "&", "<", ">", "<P>", "<br/>", "<p class=x>", "<!-- c -->", "<script>", "</script>", "<title>", '<p a="1"b="2">', "</p >"]
+    chosen, read = random.Random(5), 0
+    for i in range(3000):
+        document = "".join(chosen.choices(plain + odd * (i % 2), k=chosen.randint(0, 15)))
+        reader = markup._TreeReader()
+        reader.feed(document)
+        reader.close()
+        read += markup._plain_tree(document) is not None
+        assert _shown(markup.tree(document)) == _shown(reader.root), document
+        for selector in ("a[href]", ".a", "div.job p", "[class*='jo']", "[itemprop]", "h2", "div .a"):
+            wanted = [element.attrs for element in markup.select(reader.root, selector)]
+            found = markup.tree(document).indexed()
+            assert [element.attrs for element in markup.select(found, selector)] == wanted
+            assert (first.attrs if (first := markup.first(found, selector)) is not None else None) == (wanted[0] if wanted else None)
+    assert read >= 1500
+
+
+def test_links_are_joined_without_parsing_and_alike():
+    pieces, chosen = ["/", "a", "B-1", "..", ".", "?", "=", "#", ";", "https://", "h.x", "%20", "//", ":"], random.Random(5)
+    for base in ("", "https://a.b/c/d?x#y", "mailto:x", "file:///a/b", "//h/x", "x"):
+        for _ in range(2000):
+            href = "".join(chosen.choices(pieces, k=chosen.randint(0, 6)))
+            try:
+                wanted = urljoin(base, href)
+            except ValueError:
+                continue
+            assert markup.absolute(base, href) == wanted, (base, href)
